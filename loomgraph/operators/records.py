@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def latest(df: DataFrame, keys: list[str | Column], at: str, cols: list[str | Column], arrival: str | None = None) -> DataFrame:
@@ -22,3 +23,16 @@ def latest(df: DataFrame, keys: list[str | Column], at: str, cols: list[str | Co
     out = src.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.max_by("_row", F.coalesce(F.col("_at").cast("timestamp_ntz"), early)).alias("_row"), *extra)
     names = df.select(*keys).columns
     return out.select(*[F.col(f"_k{i}").alias(n) for i, n in enumerate(names)], "_row.*", *([F.col("_first").alias(arrival)] if arrival else []))
+
+
+def ordinals(df: DataFrame, group: list[str], order: str, name: str = "turn", page: int = 10_000) -> DataFrame:
+    """Adds each row's place (from 1) within ``group`` by the whole number ``order``, unique within the group.
+
+    A group is cut into pages of consecutive numbers; the pages' counts are summed first, so no task holds more of a
+    group than one page.
+    """
+    paged = df.withColumn("_page", F.expr(f"`{order}` div {page}"))
+    counts = paged.groupBy(*group, "_page").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*group, "_page").orderBy(order))
+    return paged.withColumn("_own", place).join(counts.select(*group, "_page", before.alias("_before")), [*group, "_page"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_page", "_own", "_before")
