@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import conversations, leaks, pieces
+from loomgraph.llm import conversations, languages, leaks, neighbours, packing, pieces
 from loomgraph.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(neighbours.neighbours(table(spark, d, "entities")))
+
+
+@query
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "entities"))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.dropped(conversations.conversations(conversations.turns(table(spark, d, "chat"), table(spark, d, "people")))[1])
@@ -40,6 +50,11 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.where("piece_no IS NOT NULL").drop("block_no")
 
 
+@query
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents")))
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -50,6 +65,18 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.clean(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.mislabelled(languages.languages(docs, languages.fit(docs)))
+
+
+@query
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.segments(docs, languages.fit(docs))
+
+
 _SPACE = r"[\s\x{0b}\x{85}\p{Z}]"
 
 
