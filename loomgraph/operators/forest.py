@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 
 from loomgraph.plans.session import cut
 
+#: The looked-up side of every join has one row per node, so its hash tables are as large as its partitions and no
+#: hot parent can swell them; sorting the names of both sides would cost more than the join.
+BUILD = "shuffle_hash"
 #: Children of one parent that one task may order.
 SIBLINGS = 50_000
 
@@ -24,18 +27,18 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """links(node, parent), parents not null, one row per node, every parent that has a row or is a root.
+def subtree_sizes(links: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """links(node, parent), written and ``n`` of them, parents not null, one row per node.
 
     Gives (node, size - 1) of every node with descendants, and the links of 2^k steps of the unsettled nodes, or None.
     """
-    open_, n = cut(links.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))
+    open_ = links.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))
     rounds, k, left = [open_], 0, n
     while left:
         # Only nodes with something 2^k below can be looked up.
         above = open_.where(F.col("size") >= 2**k).select(F.col("node").alias("up"), F.col("up").alias("up2"))
         below = open_.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        nxt = open_.join(above, "up").select("node", F.col("up2").alias("up"), "size").join(below, "node", "left")
+        nxt = open_.join(above.hint(BUILD), "up").select("node", F.col("up2").alias("up"), "size").join(below.hint(BUILD), "node", "left")
         open_, now = cut(nxt.select("node", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
         if now == left:  # depths are contiguous: no node settled, so none of the rest ever will
             break
@@ -47,7 +50,7 @@ def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def climb(state: DataFrame, total: str | None = None, weight: str | None = None, path: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """state(node, up[, total][, weight][, path]): follow ``up`` to nodes that have no row.
 
-    Gives (node, root, depth[, total][, path]), with ``total`` summed and ``path`` joined along the way, and the open
+    Gives (node, root, depth[, total][, weight][, path]), with ``total`` summed and ``path`` joined along the way, and the open
     rest (node, up) that runs in a circle, or None. ``weight`` is any upper bound of a node's height plus one.
     """
     extra = [c for c in (total, weight, "path" if path else None) if c]
@@ -59,7 +62,7 @@ def climb(state: DataFrame, total: str | None = None, weight: str | None = None,
         if weight:
             known = known.where(F.col(weight) > 2**k)
         known = known.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), *[F.col(c).alias(f"{c}2") for c in extra if c != weight])
-        j = open_.drop("done").join(known, "up", "left")
+        j = open_.drop("done").join(known.hint(BUILD), "up", "left")
         cols = [F.col("node"), F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").isNull().alias("done")]
         if total:
             cols.append((F.col(total) + F.coalesce(f"{total}2", F.lit(0))).alias(total))
@@ -67,16 +70,14 @@ def climb(state: DataFrame, total: str | None = None, weight: str | None = None,
             cols.append(F.col(weight))
         if path:
             cols.append(F.when(F.col("up2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
-        all_, _ = cut(j.select(*cols))
+        all_, now = cut(j.select(*cols), "NOT done")
         finished.append(all_.where("done"))
         open_ = all_.where("NOT done")
-        now = open_.count()
         if now == left:
             break
         left, k = now, k + 1
-    keep = [c for c in extra if c != weight]
     done = union(finished) if finished else open_
-    return done.select("node", F.col("up").alias("root"), "depth", *keep), (open_.select("node", "up") if left else None)
+    return done.select("node", F.col("up").alias("root"), "depth", *extra), (open_.select("node", "up") if left else None)
 
 
 def cycles(links: DataFrame, far: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,13 +106,13 @@ def cycles(links: DataFrame, far: DataFrame) -> tuple[DataFrame, DataFrame]:
     return on, far.join(on.select(F.col("node").alias("up"), "cycle"), "up").select("node", "cycle")
 
 
-def sibling_offsets(kids: DataFrame) -> DataFrame:
-    """kids(node, parent, size): adds ``off``, 1 plus the sizes of the siblings before it (in order of node).
+def sibling_offsets(kids: DataFrame, links: DataFrame) -> DataFrame:
+    """kids(node, parent, size), of ``links``: adds ``off``, 1 plus the sizes of the siblings before it (in order of node).
 
     A parent with more than SIBLINGS children has them cut into ranges by hash; the ranges' sums are taken first.
     """
-    most = kids.groupBy("parent").count().agg(F.max("count")).first()[0] or 0
-    s = -(-most // SIBLINGS)
+    hot = links.groupBy("parent").count().where(F.col("count") > SIBLINGS).agg(F.max("count")).first()[0] or 0
+    s = -(-hot // SIBLINGS)
     if s <= 1:
         w = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
         return kids.withColumn("off", F.lit(1) + F.coalesce(F.sum("size").over(w), F.lit(0)))
@@ -124,21 +125,20 @@ def sibling_offsets(kids: DataFrame) -> DataFrame:
     return own.join(sums, ["parent", "part"]).select("node", "parent", "size", (F.lit(1) + F.col("before") + F.col("own")).alias("off"))
 
 
-def nested_sets(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def nested_sets(links: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """links(node, parent), parents not null: the forest as ranges.
 
-    Gives (node, root, parent, depth, lft, size) of the settled nodes below a root (descendants of a node: same root,
-    lft in [lft, lft + size); a root itself has lft 0 and depth 0), and far links of the unsettled ones, or None.
+    Gives (node, root, depth, lft, size) of the settled nodes below a root (descendants of a node: same root, lft in
+    [lft, lft + size); a root itself has lft 0 and depth 0), and far links of the unsettled ones, or None.
     A node's row appears once; null nodes or parents must not occur; an empty table gives empty tables.
     """
-    links, _ = cut(links.select("node", "parent"))
-    below, far = subtree_sizes(links)
+    if n is None:  # else they are written already
+        links, n = cut(links.select("node", "parent"))
+    below, far = subtree_sizes(links, n)
     kids = links.join(far.select("node"), "node", "left_anti") if far is not None else links
-    kids = kids.join(below, "node", "left").select("node", "parent", (F.lit(1) + F.coalesce("below", F.lit(0))).alias("size"))
-    kids, _ = cut(sibling_offsets(kids))
-    done, _ = climb(kids.select("node", F.col("parent").alias("up"), "off", "size"), total="off", weight="size")
-    done = done.join(kids.select("node", "parent", "size"), "node")
-    return done.select("node", "root", "parent", "depth", F.col("off").alias("lft"), "size"), far
+    kids = kids.join(below.hint(BUILD), "node", "left").select("node", "parent", (F.lit(1) + F.coalesce("below", F.lit(0))).alias("size"))
+    done, _ = climb(sibling_offsets(kids, links).select("node", F.col("parent").alias("up"), "off", "size"), total="off", weight="size")
+    return done.select("node", "root", "depth", F.col("off").alias("lft"), "size"), far
 
 
 def descendants(ranges: DataFrame, of: DataFrame, page: int = 4096) -> DataFrame:

@@ -80,17 +80,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
 class Hierarchies:
     """All hierarchies of some links, worked out once.
 
-    ``ranges``: nested sets of the trees of nodes with one parent (node, root, parent, depth, lft, size).
+    ``links`` may give a node several parents, ``single`` at most one; they share no node.
+    ``ranges``: nested sets of the trees of nodes with one parent (node, root, depth, lft, size).
     ``depths``: (node, root, links) with the longest path of links to each root a node has, clear of cycles.
     ``circles``: (node, cycle, member) for nodes on a cycle (member) and nodes that can reach it.
     """
 
-    def __init__(self, links: DataFrame):
+    def __init__(self, links: DataFrame, single: DataFrame | None = None):
         links, _ = cut(links.select("node", "parent").distinct())
         fan = links.groupBy("node").agg(F.count("parent").alias("n"), F.min("parent").alias("parent"))
         chain = fan.where("n = 1").select("node", "parent")
+        if single is not None:
+            chain = chain.union(single.select("node", "parent"))
+        chain, n = cut(chain)
         forks, many = cut(links.join(fan.where("n > 1").select("node"), "node", "left_semi"))
-        self.ranges, far = nested_sets(chain)
+        self.ranges, far = nested_sets(chain, n)
         on = reach = None
         if far is not None:
             on, reach = cycles(chain.join(far.select("node"), "node", "left_semi"), far)
@@ -162,12 +166,11 @@ def node_id(c: str) -> Column:
     return F.when(F.col(c).startswith("c|"), F.concat(F.lit("msg:"), F.expr(f"substring({c}, 3, length({c}) - 22)"), F.lit(":"), seq)).otherwise(F.concat(F.lit("ticket:"), F.expr(f"substring({c}, 3)")))
 
 
-def project_links(chat: DataFrame, tickets: DataFrame) -> DataFrame:
-    """(node, parent) of the project's two hierarchies; links to keys without a row are left out."""
+def chat_links(chat: DataFrame) -> DataFrame:
+    """(node, parent) from each message to the existing message it replies to."""
     msgs = chat_nodes(chat)
     replies = msgs.where("up IS NOT NULL").select("node", F.col("up").alias("parent"))
-    replies = replies.join(msgs.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
-    return replies.union(ticket_links(tickets)[1])
+    return replies.join(msgs.select(F.col("node").alias("parent")).hint("shuffle_hash"), "parent", "left_semi").select("node", "parent")
 
 
 def found(h: Hierarchies, least: int = 8) -> DataFrame:

@@ -39,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:
-    """Write ``df`` to the shared folder and read it back: (table, row count).
+def cut(df: DataFrame, flag: str | None = None) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder and read it back: (table, row count), or the count of the rows where ``flag`` holds.
 
     Used where a result is read more than once or where an iteration would let its plan grow. The files outlive the
     loss of any executor.
@@ -48,9 +48,7 @@ def cut(df: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     path, seen = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}", Observation()
     schema = df.schema
-    if parts:
-        df = df.coalesce(parts)
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, (F.count_if(F.expr(flag)) if flag else F.count(F.lit(1))).alias("n")).write.parquet(path)
     return spark.read.schema(schema).parquet(path), int(seen.get["n"] or 0)
 
 

@@ -33,7 +33,7 @@ def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hierarchies(spark: SparkSession, d: str) -> hierarchy.Hierarchies:
-    return hierarchy.Hierarchies(hierarchy.project_links(table(spark, d, "chat"), table(spark, d, "tickets")))
+    return hierarchy.Hierarchies(hierarchy.ticket_links(table(spark, d, "tickets"))[1], hierarchy.chat_links(table(spark, d, "chat")))
 
 
 @query
