@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.plans.session import cut
+
 #: A public tokenizer's file, tokens of a container, documents of a shard.
 TOKENIZER, CAPACITY, SHARD = "/opt/tokenizers/piece_bpe_32k.model", 2048, 8192
 
@@ -98,7 +100,8 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    shards = max(1, -(-counts.count() // shard))
+    counts, n = cut(counts.select("doc_id", "n_tokens"))  # else the texts would be tokenized again
+    shards = max(1, -(-n // shard))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
