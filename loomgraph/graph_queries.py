@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import graph, mutate
+from loomgraph.operators import agentic, graph, mutate
 from loomgraph.plans import schema
 from loomgraph.plans.session import table
 from loomgraph.queries import SQL, _trim, query
@@ -351,3 +351,21 @@ def wikilink_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["wikilink_references"] = rf"SELECT DISTINCT doc_id, k target, k IN (SELECT stem FROM documents WHERE stem IS NOT NULL) found FROM (SELECT doc_id, nullif({PAGE}, '') k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[([^\]\n]+)\]\]', 1)) x FROM documents)) WHERE k IS NOT NULL"
+
+
+@query
+def agentic_loop_stub(spark: SparkSession, d: str) -> DataFrame:
+    """From each seed ticket, step by step to the first 5 unseen neighbours, until a page has been visited."""
+    nodes, edges = _graph(spark, d)
+    return agentic.explore(_seeds(nodes), edges, lambda seen: seen.where("id LIKE 'doc:%'").select("q").distinct())
+
+
+def _steps_sql(n: int) -> str:
+    out = "v0 AS (SELECT q, id, 0 step FROM seeds), f0 AS (SELECT q, id FROM seeds)"
+    for i in range(1, n + 1):
+        out += f""", f{i} AS (SELECT q, id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) n FROM (SELECT DISTINCT q, nxt AS id FROM f{i - 1} JOIN s2 USING (id) WHERE q NOT IN (SELECT q FROM v{i - 1} WHERE id LIKE 'doc:%') AND (q, nxt) NOT IN (SELECT (q, id) FROM v{i - 1}))) WHERE n <= 5),
+v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT q, id, {i} FROM f{i})"""
+    return out
+
+
+SQL["agentic_loop_stub"] = f"{_G}, {_SEEDS}, {_STEP}, {_steps_sql(3)} SELECT * FROM v3"
