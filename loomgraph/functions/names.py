@@ -39,6 +39,12 @@ def handle_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), "^(@|person:)", "")
 
 
+def message_name(channel: Column, seq: Column) -> Column:
+    """A message's name within the joins: of two in a channel the one with the smaller seq sorts first."""
+    s = seq.cast("string")
+    return F.concat(channel, F.lit(":"), F.char(F.length(s) + 64), s)
+
+
 def named(c: Column, key) -> Column:
     """The distinct keys that an array of names means; null arrays, null and blank entries mean nothing."""
     none = F.array().cast("array<string>")

@@ -55,14 +55,14 @@ def climb(state: DataFrame, total: str | None = None, weight: str | None = None,
     """
     extra = [c for c in (total, weight, "path" if path else None) if c]
     open_, n = cut(state.select("node", "up", F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"), *extra))
-    finished: list[DataFrame] = []
+    cols_, settled, finished = open_.columns, [], []
     k, left = 0, n
     while left:
-        known = union([open_, *finished])
+        look = union([open_, *settled])
         if weight:
-            known = known.where(F.col(weight) > 2**k)
-        known = known.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), *[F.col(c).alias(f"{c}2") for c in extra if c != weight])
-        j = open_.drop("done").join(known.hint(BUILD), "up", "left")
+            look = look.where(F.col(weight) > 2**k)
+        look = look.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), *[F.col(c).alias(f"{c}2") for c in extra if c != weight])
+        j = open_.drop("done").join(look.hint(BUILD), "up", "left")
         cols = [F.col("node"), F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").isNull().alias("done")]
         if total:
             cols.append((F.col(total) + F.coalesce(f"{total}2", F.lit(0))).alias(total))
@@ -70,9 +70,12 @@ def climb(state: DataFrame, total: str | None = None, weight: str | None = None,
             cols.append(F.col(weight))
         if path:
             cols.append(F.when(F.col("up2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
-        all_, now = cut(j.select(*cols), "NOT done")
-        finished.append(all_.where("done"))
-        open_ = all_.where("NOT done")
+        # Settled nodes too low to be looked up again are kept apart from the rest.
+        wanted = ~F.col("done") | (F.col(weight) > 2 ** (k + 1)) if weight else F.lit(True)
+        all_, now = cut(j.select(*cols).withColumn("wanted", wanted), "NOT done", "wanted")
+        finished.append(all_.where("done").select(*cols_))
+        settled.append(all_.where("wanted AND done").select(*cols_))
+        open_ = all_.where("wanted AND NOT done").select(*cols_)
         if now == left:
             break
         left, k = now, k + 1

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.names import channel_key, named, ticket_key
+from loomgraph.functions.names import channel_key, message_name, named, ticket_key
 from loomgraph.operators.forest import cycles, nested_sets
 from loomgraph.operators.records import latest
 from loomgraph.plans.session import cut
@@ -21,7 +21,7 @@ def chat_nodes(chat: DataFrame) -> DataFrame:
 
     Node names sort like (channel, seq). A row without channel or seq is no message.
     """
-    name = lambda seq: F.concat(F.lit("c|"), "ch", F.lit(":"), F.lpad(seq.cast("string"), 19, "0"))
+    name = lambda seq: F.concat(F.lit("c|"), message_name(F.col("ch"), seq))
     rec = latest(chat, [channel_key(F.col("channel")).alias("ch"), F.col("seq").alias("sq")], "arrived_at", [F.col("reply_to").alias("re")])
     return rec.select(name(F.col("sq")).alias("node"), F.when(F.col("re") != 0, name(F.col("re"))).alias("up"))
 
@@ -118,13 +118,14 @@ class Hierarchies:
             ends = ends.withColumn("into", F.lit(None).cast("string"))
         ends = ends.select("b", "p", F.coalesce("s", "p").alias("s"), (F.lit(1) + F.coalesce("depth", F.lit(0))).alias("w"), "into")
         ends, _ = cut(ends.join(heads.select(F.col("node").alias("s"), F.lit(True).alias("fork")), "s", "left"))
+        forked, _ = cut(self.ranges.join(heads.select(F.col("node").alias("root")), "root", "left_semi").select("node", "root", "depth", "lft", "size"))
         steps = ends.where("into IS NULL AND fork").select("b", "p", "s", "w")
         scc, n_scc = cut(strong_components(steps.select(F.col("b").alias("a"), F.col("s").alias("b"))))
 
         # Names and members of the cycles through branching nodes, with the chain nodes that close them.
         inside = steps.join(scc.select(F.col("node").alias("b"), "scc"), "b").join(scc.select(F.col("node").alias("s"), F.col("scc").alias("scc_s")), "s").where("scc = scc_s").select("p", "s", "scc")
-        at = inside.join(self.ranges.select(F.col("node").alias("p"), F.col("lft").alias("at")), "p").select(F.col("s").alias("root"), "scc", "at")
-        chain = self.ranges.join(at, "root").where("lft <= at AND at < lft + size").select("node", "scc").distinct()
+        at = inside.join(forked.select(F.col("node").alias("p"), F.col("lft").alias("at")), "p").select(F.col("s").alias("root"), "scc", "at")
+        chain = forked.join(at, "root").where("lft <= at AND at < lft + size").select("node", "scc").distinct()
         member, _ = cut(scc.union(chain).distinct())
         names = member.groupBy("scc").agg(F.min("node").alias("cycle"))
         member, _ = cut(member.join(names, "scc").select("node", "cycle"))
@@ -136,7 +137,7 @@ class Hierarchies:
             if now == m:
                 break
             m = now
-        led = self.ranges.select("node", F.col("root").alias("s")).join(hit.select(F.col("node").alias("s"), "cycle"), "s").select("node", "cycle")
+        led = forked.select("node", F.col("root").alias("s")).join(hit.select(F.col("node").alias("s"), "cycle"), "s").select("node", "cycle")
         reached = hit.union(led).distinct()
         more = reached.join(member.select("node", "cycle", F.lit(True).alias("m")), ["node", "cycle"], "left").select("node", "cycle", F.coalesce("m", F.lit(False)).alias("member"))
         self.circles = self.circles.union(more)
@@ -156,14 +157,16 @@ class Hierarchies:
                 break
             last = now
         plain = self.ranges.join(heads.select(F.col("node").alias("root")), "root", "left_anti")
-        below = self.ranges.join(far_.select(F.col("node").alias("root"), F.col("root").alias("top"), "links"), "root").select("node", F.col("top").alias("root"), (F.col("depth") + F.col("links")).alias("links"))
+        below = forked.join(far_.select(F.col("node").alias("root"), F.col("root").alias("top"), "links"), "root").select("node", F.col("top").alias("root"), (F.col("depth") + F.col("links")).alias("links"))
         self.depths = plain.select("node", "root", F.col("depth").alias("links")).union(below).union(far_)
 
 
 def node_id(c: str) -> Column:
     """The public id of the node in column ``c``: msg:<channel>:<seq> or ticket:<key>."""
-    seq = F.substring_index(c, ":", -1).try_cast("bigint").cast("string")
-    return F.when(F.col(c).startswith("c|"), F.concat(F.lit("msg:"), F.expr(f"substring({c}, 3, length({c}) - 22)"), F.lit(":"), seq)).otherwise(F.concat(F.lit("ticket:"), F.expr(f"substring({c}, 3)")))
+    last = F.substring_index(c, ":", -1)
+    channel = F.expr(f"substring({c}, 3, length({c}) - length(substring_index({c}, ':', -1)) - 3)")
+    msg = F.concat(F.lit("msg:"), channel, F.lit(":"), F.substring(last, 2, 1000))
+    return F.when(F.col(c).startswith("c|"), msg).otherwise(F.concat(F.lit("ticket:"), F.expr(f"substring({c}, 3)")))
 
 
 def chat_links(chat: DataFrame) -> DataFrame:

@@ -39,16 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, flag: str | None = None) -> tuple[DataFrame, int]:
+def cut(df: DataFrame, flag: str | None = None, by: str | None = None) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared folder and read it back: (table, row count), or the count of the rows where ``flag`` holds.
 
+    With ``by`` the rows are kept apart by that column, so that a filter on it reads only its own files.
+
     Used where a result is read more than once or where an iteration would let its plan grow. The files outlive the
     loss of any executor.
     """
     spark = df.sparkSession
     path, seen = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}", Observation()
     schema = df.schema
-    df.observe(seen, (F.count_if(F.expr(flag)) if flag else F.count(F.lit(1))).alias("n")).write.parquet(path)
+    out = df.observe(seen, (F.count_if(F.expr(flag)) if flag else F.count(F.lit(1))).alias("n")).write
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(schema).parquet(path), int(seen.get["n"] or 0)
 
 
