@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.names import channel_key, handle_key
+from loomgraph.functions.names import channel_key, handle_key, message_name
 from loomgraph.operators.forest import climb, cycles
 from loomgraph.operators.records import latest, ordinals
 from loomgraph.plans.session import cut
@@ -37,8 +37,8 @@ def turns(chat: DataFrame, people: DataFrame, text: bool = False) -> DataFrame:
     if text:
         cols += ["author", "ts", "text"]
     rec = latest(chat, [channel_key(F.col("channel")).alias("channel"), F.col("seq").alias("seq")], "arrived_at", cols)
-    node = lambda seq: F.concat("channel", F.lit(":"), F.lpad(seq.cast("string"), 19, "0"))
-    rec = rec.select("*", node(F.col("seq")).alias("node"), F.when(F.col("reply_to") != 0, node(F.col("reply_to"))).alias("up")).drop("reply_to")
+    node = lambda seq: message_name(F.col("channel"), F.col(seq))
+    rec = rec.select("*", node("seq").alias("node"), F.when(F.col("reply_to") != 0, node("reply_to")).alias("up")).drop("reply_to")
     return rec.join(roles(people), "handle", "left").withColumn("role", F.coalesce("role", F.lit("user")))
 
 
