@@ -124,15 +124,16 @@ class Sentences:
 
     def languages(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language of each sentence, and a confidence between 1/len and 1."""
-        s = self.score(table)
-        if not len(s):
-            return np.zeros(0, np.int64), np.zeros(0)
+        known = np.flatnonzero(np.isfinite(table[0]))
+        s = self.score(table[:, known])
+        if not s.size:
+            return np.zeros(len(s), np.int64), np.zeros(len(s))
         near, w = s.copy(), np.maximum(0, 1 - self.letters / SHORT)[:, None]
         same = (self.doc[1:] == self.doc[:-1])[:, None]
         near[1:] += w[1:] * same * s[:-1]
         near[:-1] += w[:-1] * same * s[1:]
         e = np.exp(12 * (near - near.max(1, keepdims=True)))
-        return near.argmax(1), e.max(1) / e.sum(1)
+        return known[near.argmax(1)], e.max(1) / e.sum(1)
 
 
 def gram_vectors(gram: int = GRAM, dim: int = DIM, seed: int = 7) -> np.ndarray:
@@ -147,15 +148,20 @@ def gram_vectors(gram: int = GRAM, dim: int = DIM, seed: int = 7) -> np.ndarray:
 def prototypes(counts: np.ndarray, vectors: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """counts(languages, n-grams): the table of cosines' parts of each n-gram with each centred prototype.
 
-    Counts are damped by their logarithm, so that a language's commonest phrases do not drown the rest of it.
+    A language without sample has no prototype: its column is minus infinity. Counts are damped by their logarithm, so that a language's commonest phrases do not drown the rest of it.
     """
-    c = np.log1p(counts).astype(np.float32)
+    known = counts.sum(1) > 0
+    c = np.log1p(counts[known]).astype(np.float32)
+    out = np.full((len(vectors), len(counts)), -np.inf, np.float32)
+    if not known.any():
+        return out
     steps = range(0, len(vectors), chunk)
     p = sum(c[:, i : i + chunk] @ vectors[i : i + chunk].astype(np.float32) for i in steps)
     p /= np.maximum(1e-9, np.linalg.norm(p, axis=1, keepdims=True))
     p -= p.mean(0)
     p /= np.maximum(1e-9, np.linalg.norm(p, axis=1, keepdims=True))
-    return np.concatenate([vectors[i : i + chunk].astype(np.float32) @ p.T for i in steps]) / np.float32(np.sqrt(vectors.shape[1]))
+    out[:, known] = np.concatenate([vectors[i : i + chunk].astype(np.float32) @ p.T for i in steps]) / np.float32(np.sqrt(vectors.shape[1]))
+    return out
 
 
 def _count(sample: DataFrame, table=None) -> np.ndarray:
@@ -201,6 +207,7 @@ def segments(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
     Positions are code points of the text; null texts and texts without letters that count have none.
     """
+    docs = docs if np.isfinite(table).any() else docs.limit(0)  # no labelled sample, no languages
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +222,7 @@ def segments(docs: DataFrame, table: np.ndarray) -> DataFrame:
             no = np.arange(len(head)) - np.searchsorted(doc, doc, "left") + 1
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[doc], "segment": no, "start": s.start[head], "stop": s.stop[tail], "lang": np.array(LANGS)[lang[head]], "letters": letters, "confidence": np.add.reduceat(sure * s.letters, head) / letters})
 
-    return docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "doc_id long, segment long, start long, stop long, lang string, letters long, confidence double")
+    return docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInPandas(run, "doc_id long, segment long, start long, stop long, lang string, letters long, confidence double")
 
 
 def languages(docs: DataFrame, table: np.ndarray, share: float = SHARE) -> DataFrame:
@@ -224,12 +231,15 @@ def languages(docs: DataFrame, table: np.ndarray, share: float = SHARE) -> DataF
     ``label`` is the code the document's label names, or null. A document's segments come from one task, so they are
     summed there and nothing is shuffled.
     """
+    docs = docs if np.isfinite(table).any() else docs.limit(0)  # no labelled sample, no languages
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             s = Sentences(list(pdf["text"]))
             lang, sure = s.languages(shared.value)
+            if not len(lang):
+                continue
             k, n = len(LANGS), len(pdf)
             cell = s.doc * k + lang
             got = np.bincount(cell, s.letters, n * k).reshape(n, k)
@@ -237,9 +247,9 @@ def languages(docs: DataFrame, table: np.ndarray, share: float = SHARE) -> DataF
             all_ = got.sum(1, keepdims=True)
             d, i = np.nonzero((got > 0) & (got >= share * all_))
             many = np.bincount(d, minlength=n) > 1
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "label": pdf["label"].to_numpy()[d], "lang": np.array(LANGS)[i] if len(i) else [], "share": got[d, i] / all_[d, 0], "confidence": conf[d, i] / got[d, i], "several": many[d]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "label": pdf["label"].to_numpy()[d], "lang": np.array(LANGS)[i], "share": got[d, i] / all_[d, 0], "confidence": conf[d, i] / got[d, i], "several": many[d]})
 
-    return docs.select("doc_id", "text", label_code(F.col("lang")).alias("label")).where("text IS NOT NULL").mapInPandas(run, "doc_id long, label string, lang string, share double, confidence double, several boolean")
+    return docs.select("doc_id", "text", label_code(F.col("lang")).alias("label")).where("text IS NOT NULL AND doc_id IS NOT NULL").mapInPandas(run, "doc_id long, label string, lang string, share double, confidence double, several boolean")
 
 
 def mislabelled(found: DataFrame) -> DataFrame:

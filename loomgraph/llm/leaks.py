@@ -105,7 +105,8 @@ def _scan(docs: DataFrame, grams, schema: str, make) -> DataFrame:
                 flat += [get(w, -1) for w in words(text)]
                 flat += gap
             start, item = g.hits(np.array(flat, np.int64))
-            yield make(pdf, g, np.array(starts), start, item)
+            if len(start):
+                yield make(pdf, g, np.array(starts), start, item)
 
     return docs.mapInPandas(run, schema)
 
@@ -127,7 +128,7 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
 
 def _over(docs: DataFrame, items: DataFrame, span: int, schema: str, make) -> DataFrame:
     sc, out = docs.sparkSession.sparkContext, None
-    docs = docs.select("doc_id", "text").where("text IS NOT NULL")
+    docs = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
     for block in _blocks(items):
         part = _scan(docs, sc.broadcast(Grams(block, span)), schema, make)
         out = part if out is None else out.unionByName(part)

@@ -34,7 +34,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 out += map(len, sp.encode(texts[i : i + 64], num_threads=1))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": out})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, n_tokens long")
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:

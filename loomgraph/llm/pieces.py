@@ -163,6 +163,8 @@ def pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Data
                     continue
                 out += [(src, key, None, None, None, None, None, n) for n in oversized(body, limit)]
                 out += [(src, key, i, s, o, e, body[s:e], None) for i, (s, o, e) in enumerate(split(body, limit, overlap), 1)]
+            if not out:
+                continue
             yield pd.DataFrame(out, columns=["src_table", "item_key", "piece_no", "start", "own", "stop", "content", "block_no"]).astype({c: "Int64" for c in ("piece_no", "start", "own", "stop", "block_no")})
 
     return texts.select("src_table", "item_key", "body").mapInPandas(run, "src_table string, item_key string, piece_no long, start long, own long, stop long, content string, block_no long")
