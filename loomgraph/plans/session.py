@@ -55,5 +55,14 @@ def cut(df: DataFrame, flag: str | None = None, by: str | None = None) -> tuple[
     return spark.read.schema(schema).parquet(path), int(seen.get["n"] or 0)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` written and, if it has at most ``most`` rows, marked for broadcast; larger ones are joined by shuffle.
+
+    For tables of a few plain columns: a million rows of two numbers are some 30 MB.
+    """
+    out, n = cut(df)
+    return F.broadcast(out) if n <= most else out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
