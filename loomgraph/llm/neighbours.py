@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.operators.records import latest
+from loomgraph.plans.session import small
 
 DIM, K, FLOOR = 64, 10, 0.85
 #: Rows the centroids are fitted on, rows meant per cell, most centroids, most indexed rows per task's cell.
@@ -48,7 +49,7 @@ def current(entities: DataFrame) -> DataFrame:
 
     Few ids come twice: only their rows are moved to find the latest.
     """
-    twice = entities.groupBy("id").count().where("count > 1").select("id")
+    twice = small(entities.groupBy("id").count().where("count > 1").select("id"))
     rows = entities.select("id", "embedding", "ingested_at").where("id IS NOT NULL")
     once = rows.join(twice, "id", "left_anti").select("id", "embedding")
     more = latest(rows.join(twice, "id", "left_semi"), ["id"], "ingested_at", ["embedding"])
@@ -182,9 +183,9 @@ def neighbours(entities: DataFrame, k: int = K, floor: float = FLOOR) -> DataFra
     ids can be among anyone's k most similar. Null, short, long, zero and non-finite vectors have no neighbours.
     """
     vectors = current(entities)
-    same = copies(vectors)
+    same = small(copies(vectors))
     single = vectors.join(same.where("id <> rep").select("id"), "id", "left_anti")
-    n = vectors.count()
+    n = entities.count()
     centroids, share = fit(vectors, n)
     pages = np.maximum(1, np.ceil(share * n / PAGE)).astype(np.int64)
 
