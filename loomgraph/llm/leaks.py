@@ -20,7 +20,7 @@ SPAN = 13
 #: Characters of test items per broadcast block.
 BLOCK_CHARS = 8_000_000
 
-_INVISIBLE = re.compile("[­​-‍⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Code points of a piece, and of what a piece repeats of the one before it.
 LIMIT, OVERLAP = 1600, 160
 
-_BLANK = re.compile(r"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))+")
+_BLANK = re.compile(r"(?>\r\n|\n|\r)(?:[ \t]*(?>\r\n|\n|\r))+")  # atomic: a \r\n is never two line ends
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 _HEAD = re.compile(r"[ \t]*(#{1,6})[ \t]")
 _SENTENCE = re.compile(r".*?(?:[.!?…][\"'»”)\]]*(?:\s+|$)|$)", re.S)

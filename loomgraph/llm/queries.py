@@ -108,7 +108,7 @@ WITH r AS (SELECT 'tickets' src_table, key item_key, max_by(struct_pack(x := des
   UNION ALL SELECT 'raw_records', id, max_by(struct_pack(x := body), loaded_at).x FROM raw_records GROUP BY 2),
 big AS (SELECT * FROM r WHERE length(x) > 1600),
 b AS (SELECT src_table, item_key, trim(regexp_replace(u.b, '[ \t\r\n]+', ' ', 'g'), ' ') b, u.i FROM big,
-  LATERAL (SELECT unnest(l) b, generate_subscripts(l, 1) i FROM (SELECT regexp_split_to_array(x, '(\r\n|\n|\r)([ \t]*(\r\n|\n|\r))+') l)) u),
+  LATERAL (SELECT unnest(l) b, generate_subscripts(l, 1) i FROM (SELECT regexp_split_to_array(regexp_replace(x, '\r\n?', chr(10), 'g'), '\n([ \t]*\n)+') l)) u),
 n AS (SELECT *, row_number() OVER (PARTITION BY src_table, item_key ORDER BY i) block_no FROM b WHERE b <> '')
 SELECT src_table, item_key, 0::BIGINT block_no FROM big UNION ALL SELECT src_table, item_key, block_no FROM n WHERE length(b) > 1600
 """

@@ -42,6 +42,10 @@ def test_oversized_blocks():
     assert P.oversized("x" * 1601) == [0, 1]
     assert P.oversized("\n \n" + "short\n\n \t\n" + big + "\r\r" + "y" * 1700) == [0, 2, 3]
     assert P.oversized("s" + " " * 5000 + "e") == [0]
+    lines = "word " * 200
+    assert P.oversized(lines + "\r\n" + lines) == [0, 1]  # one line end, not two
+    assert P.oversized(lines + "\r\n\r\n" + lines) == [0]
+    assert P.oversized(lines + "\n\r\n" + lines) == [0]
 
 
 T = "key string, description string, ingested_at timestamp_ntz, body string, block_no int, at int"
