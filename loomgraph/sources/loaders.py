@@ -89,7 +89,7 @@ def meetings(df: DataFrame) -> DataFrame:
 
 def front_matter(raw: DataFrame) -> DataFrame:
     """raw(stem, value): stem, meta (map) and body. Without a closed block the whole text is body; values are unquoted."""
-    v = F.regexp_replace("value", "^﻿", "")
+    v = F.regexp_replace("value", "^\ufeff", "")
     block = F.regexp_extract(v, r"^---[ \t]*\r?\n(?s:(.*?))\r?\n---[ \t]*(?:\r?\n|$)", 1)
     lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.contains(":"))
     unquote = lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")
