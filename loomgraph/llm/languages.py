@@ -132,7 +132,7 @@ class Sentences:
         same = (self.doc[1:] == self.doc[:-1])[:, None]
         near[1:] += w[1:] * same * s[:-1]
         near[:-1] += w[:-1] * same * s[1:]
-        e = np.exp(12 * (near - near.max(1, keepdims=True)))
+        e = np.exp(30 * (near - near.max(1, keepdims=True)))
         return known[near.argmax(1)], e.max(1) / e.sum(1)
 
 
