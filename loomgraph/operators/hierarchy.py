@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.names import channel_key, message_name, named, ticket_key
-from loomgraph.operators.forest import cycles, nested_sets
+from loomgraph.operators.forest import climb, cycles, nested_sets
 from loomgraph.operators.records import latest
 from loomgraph.plans.session import cut
 
@@ -176,6 +176,18 @@ def chat_links(chat: DataFrame) -> DataFrame:
     return replies.join(msgs.select(F.col("node").alias("parent")).hint("shuffle_hash"), "parent", "left_semi").select("node", "parent")
 
 
+def outline(links: DataFrame) -> DataFrame:
+    """links(node, parent), one parent each: (node, root, depth, lft, size, path) of every settled node below a root.
+
+    ``path`` holds the nodes from the root to the node itself; a node has ``size`` - 1 descendants.
+    """
+    links, n = cut(links.select("node", "parent"))
+    ranges, far = nested_sets(links, n)
+    open_ = links.join(far.select("node"), "node", "left_anti") if far is not None else links
+    paths, _ = climb(open_.select("node", F.col("parent").alias("up"), F.array("node").alias("path")), path=True)
+    return ranges.join(paths.select("node", "path"), "node").withColumn("path", F.concat(F.array("root"), "path"))
+
+
 def found(h: Hierarchies, least: int = 8) -> DataFrame:
     """(hierarchy, node_id, root_id): roots at least ``least`` links up, and the cycles a node is on or reaches."""
     rows = h.depths.where(F.col("links") >= least).select("node", "root").union(h.circles.select("node", F.col("cycle").alias("root")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.operators import hierarchy, orphans
 from loomgraph.plans.session import table
@@ -41,6 +42,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.found(_hierarchies(spark, d))
 
 
+@query
+def p4_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Every reply below an opener: its root, depth, number of descendants and path of seqs."""
+    seq = F.expr("array_join(transform(path, x -> substring(substring_index(x, ':', -1), 2)), '/')")
+    rows = hierarchy.outline(hierarchy.chat_links(table(spark, d, "chat")))
+    return rows.select(hierarchy.node_id("node").alias("node_id"), hierarchy.node_id("root").alias("root_id"), "depth", (F.col("size") - 1).alias("descendants"), seq.alias("path"))
+
+
 _SPACE = r"[\s\x{0b}\x{85}\p{Z}]"
 
 
@@ -83,3 +92,11 @@ SELECT DISTINCT h AS hierarchy,
   CASE h WHEN 'chat' THEN 'msg:' || regexp_replace(a, ':0*([0-9]+)$', ':\1') ELSE 'ticket:' || a END node_id,
   CASE h WHEN 'chat' THEN 'msg:' || regexp_replace(b, ':0*([0-9]+)$', ':\1') ELSE 'ticket:' || b END root_id FROM out
 """
+SQL["p4_outline"] = rf"""
+WITH RECURSIVE m AS (SELECT {_CHANNEL} ch, seq, max_by(nullif(coalesce(reply_to, 0), 0), arrived_at) up FROM chat WHERE channel IS NOT NULL AND seq IS NOT NULL GROUP BY ALL),
+l AS (SELECT a.ch, a.seq a, a.up b FROM m a JOIN m b ON a.ch = b.ch AND a.up = b.seq),
+w AS (SELECT ch, a, b, 1::BIGINT n, [b, a] p FROM l UNION ALL SELECT w.ch, w.a, l.b, n + 1, list_prepend(l.b, p) FROM w JOIN l ON w.ch = l.ch AND w.b = l.a WHERE NOT list_contains(p, l.b)),
+top AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.ch = w.ch AND l.a = w.b)),
+sub AS (SELECT ch, b, count(*) k FROM w WHERE EXISTS (SELECT 1 FROM top t WHERE t.ch = w.ch AND t.a = w.a) GROUP BY ALL)
+SELECT 'msg:' || ch || ':' || a node_id, 'msg:' || ch || ':' || top.b root_id, n AS depth, coalesce(k, 0) descendants, array_to_string(p, '/') "path" FROM top LEFT JOIN (SELECT ch, b AS a, k FROM sub) USING (ch, a)
+"""
