@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.plans.session import cut
+from loomgraph.plans.session import cut, cut_by, joined
 
 #: The looked-up side of every join has one row per node, so its hash tables are as large as its partitions and no
 #: hot parent can swell them; sorting the names of both sides would cost more than the join.
@@ -53,17 +53,16 @@ def climb(state: DataFrame, total: str | None = None, weight: str | None = None,
     Gives (node, root, depth[, total][, weight][, path]), with ``total`` summed and ``path`` joined along the way, and the open
     rest (node, up) that runs in a circle, or None. ``weight`` is any upper bound of a node's height plus one.
     """
-    extra = [c for c in (total, weight, "path" if path else None) if c]
-    open_, n = cut(state.select("node", "up", F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"), *extra))
-    cols_, settled, finished = open_.columns, [], []
-    k, left = 0, n
+    spark, extra = state.sparkSession, [c for c in (total, weight, "path" if path else None) if c]
+    open_, left = cut(state.select("node", "up", F.lit(1).cast("long").alias("depth"), *extra))
+    schema, kept, settled, k = open_.schema, [], [], 0
+    look = open_
     while left:
-        look = union([open_, *settled])
         if weight:
             look = look.where(F.col(weight) > 2**k)
         look = look.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), *[F.col(c).alias(f"{c}2") for c in extra if c != weight])
-        j = open_.drop("done").join(look.hint(BUILD), "up", "left")
-        cols = [F.col("node"), F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").isNull().alias("done")]
+        j = open_.join(look.hint(BUILD), "up", "left")
+        cols = [F.col("node"), F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")]
         if total:
             cols.append((F.col(total) + F.coalesce(f"{total}2", F.lit(0))).alias(total))
         if weight:
@@ -71,15 +70,18 @@ def climb(state: DataFrame, total: str | None = None, weight: str | None = None,
         if path:
             cols.append(F.when(F.col("up2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
         # Settled nodes too low to be looked up again are kept apart from the rest.
-        wanted = ~F.col("done") | (F.col(weight) > 2 ** (k + 1)) if weight else F.lit(True)
-        all_, now = cut(j.select(*cols).withColumn("wanted", wanted), "NOT done", "wanted")
-        finished.append(all_.where("done").select(*cols_))
-        settled.append(all_.where("wanted AND done").select(*cols_))
-        open_ = all_.where("wanted AND NOT done").select(*cols_)
+        low = F.col(weight) <= 2 ** (k + 1) if weight else F.lit(False)
+        kind = F.when(F.col("up2").isNotNull(), "open").when(low, "low").otherwise("kept")
+        parts = cut_by(j.select(*cols, kind.alias("kind")), "kind", ("open", "kept", "low"))
+        kept += [parts["kept"][0]] if "kept" in parts else []
+        settled += [parts[x][0] for x in ("kept", "low") if x in parts]
+        at, now = parts.get("open", ("", 0))
+        open_ = joined(spark, [at] if now else [], schema)
+        look = joined(spark, [*([at] if now else []), *kept], schema)
         if now == left:
             break
         left, k = now, k + 1
-    done = union(finished) if finished else open_
+    done = joined(spark, settled, schema)
     return done.select("node", F.col("up").alias("root"), "depth", *extra), (open_.select("node", "up") if left else None)
 
 

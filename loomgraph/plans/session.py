@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Settings the jobs are tuned for; a session that the caller made keeps its own.
 DEFAULTS = {
@@ -39,20 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, flag: str | None = None, by: str | None = None) -> tuple[DataFrame, int]:
-    """Write ``df`` to the shared folder and read it back: (table, row count), or the count of the rows where ``flag`` holds.
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
 
-    With ``by`` the rows are kept apart by that column, so that a filter on it reads only its own files.
+
+def cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder and read it back: (table, row count).
 
     Used where a result is read more than once or where an iteration would let its plan grow. The files outlive the
     loss of any executor.
     """
-    spark = df.sparkSession
-    path, seen = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}", Observation()
-    schema = df.schema
-    out = df.observe(seen, (F.count_if(F.expr(flag)) if flag else F.count(F.lit(1))).alias("n")).write
-    (out.partitionBy(by) if by else out).parquet(path)
-    return spark.read.schema(schema).parquet(path), int(seen.get["n"] or 0)
+    path, seen = _new_path(df.sparkSession), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
+
+
+def cut_by(df: DataFrame, by: str, values: tuple[str, ...]) -> dict[str, tuple[str, int]]:
+    """Write ``df`` with its rows kept apart by ``by``: the folder and row count of each of ``values`` that occurs."""
+    path, seen = _new_path(df.sparkSession), Observation()
+    df.observe(seen, *[F.count_if(F.col(by) == v).alias(f"n{i}") for i, v in enumerate(values)]).write.partitionBy(by).parquet(path)
+    got = {v: int(seen.get[f"n{i}"] or 0) for i, v in enumerate(values)}
+    return {v: (f"{path}/{by}={v}", n) for v, n in got.items() if n}
+
+
+def joined(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+    """Several written folders as one table: one scan, however many there are."""
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
