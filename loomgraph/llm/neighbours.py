@@ -22,8 +22,8 @@ from loomgraph.operators.records import latest
 from loomgraph.plans.session import small
 
 DIM, K, FLOOR = 64, 10, 0.85
-#: Rows the centroids are fitted on, rows meant per cell, most centroids, most indexed rows per task's cell.
-SAMPLE, PER_CELL, CELLS, PAGE = 16_384, 400, 2048, 4096
+#: Rows the centroids are fitted on, rows meant per cell, most centroids, indexed and asking rows of a task's cell.
+SAMPLE, PER_CELL, CELLS, PAGE, ASKERS = 16_384, 400, 2048, 4096, 16_384
 #: A cell is asked if its centroid's cosine is this close to the nearest's.
 MARGIN = 0.1
 #: Hash tables; and the levels of the windows: half-width, collisions needed, distance up to which that finds nearly all.
@@ -75,12 +75,16 @@ def fit(vectors: DataFrame, n: int, bound: int = SAMPLE, per_cell: int = PER_CEL
     return c, np.bincount(near, minlength=k) / len(x)
 
 
-def route(vectors: DataFrame, centroids: np.ndarray, pages: np.ndarray, margin: float = MARGIN) -> DataFrame:
-    """(cell, page, id, indexed, home, v): each vector once where it is indexed and once for every page it asks."""
-    shared = vectors.sparkSession.sparkContext.broadcast((centroids, pages))
+def route(vectors: DataFrame, centroids: np.ndarray, pages: np.ndarray, slots: np.ndarray, margin: float = MARGIN) -> DataFrame:
+    """(cell, page, slot, id, indexed, asks, home, v): each vector where it is indexed and where it asks.
+
+    A cell's indexed vectors are dealt to its pages, its askers to its slots; every page meets every slot, so no part
+    holds more than its share of either.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast((centroids, pages, slots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cents, many = shared.value
+        cents, many, wide = shared.value
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 part = pdf.iloc[at : at + 4096]
@@ -94,12 +98,19 @@ def route(vectors: DataFrame, centroids: np.ndarray, pages: np.ndarray, margin:
                 i, cell = np.repeat(i, many[cell]), np.repeat(cell, many[cell])
                 first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (cell[1:] != cell[:-1])]))
                 page = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                ids = part["id"].to_numpy()
-                at_home = home[i] == cell
+                ids, at_home = part["id"].to_numpy(), home[i] == cell
                 blobs = np.array([r.tobytes() for r in raw], object)
-                yield pd.DataFrame({"cell": cell, "page": page, "id": ids[i], "indexed": at_home & (ids[i] % many[cell] == page), "home": at_home, "v": blobs[i]})
+                slot = (ids[i] // many[cell]) % wide[cell]
+                yield pd.DataFrame({"cell": cell, "page": page, "slot": slot, "id": ids[i], "indexed": at_home & (ids[i] % many[cell] == page), "asks": True, "home": at_home, "v": blobs[i]})
+                # The other slots of its page see an indexed vector too.
+                j = np.repeat(np.arange(len(ids)), wide[home])
+                slot = np.arange(len(j)) - np.repeat(np.cumsum(wide[home]) - wide[home], wide[home])
+                other = slot != (ids[j] // many[home[j]]) % wide[home[j]]
+                j, slot = j[other], slot[other]
+                if len(j):
+                    yield pd.DataFrame({"cell": home[j], "page": ids[j] % many[home[j]], "slot": slot, "id": ids[j], "indexed": True, "asks": False, "home": True, "v": blobs[j]})
 
-    return vectors.select("id", "embedding").mapInPandas(run, "cell int, page int, id long, indexed boolean, home boolean, v binary")
+    return vectors.select("id", "embedding").mapInPandas(run, "cell int, page int, slot int, id long, indexed boolean, asks boolean, home boolean, v binary")
 
 
 class Tables:
@@ -126,14 +137,14 @@ class Tables:
         return count
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, k: int = K, floor: float = FLOOR, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, indexed row, cosine) of the up to ``k`` most similar, ties by smaller id."""
+def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarray, k: int = K, floor: float = FLOOR, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, indexed row, cosine) of the up to ``k`` most similar of each row that asks, ties by smaller id."""
     where = np.flatnonzero(indexed)
     x32, found = x.astype(np.float32), []
     if not len(where):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     t, d32 = Tables(x32[where]), x32[where]
-    open_ = np.arange(len(x))
+    open_ = np.flatnonzero(asks)
     for level, (width, need, radius) in enumerate(LEVELS):
         last, still = level == len(LEVELS) - 1, []
         for at in range(0, len(open_), block):
@@ -188,15 +199,16 @@ def neighbours(entities: DataFrame, k: int = K, floor: float = FLOOR) -> DataFra
     n = entities.count()
     centroids, share = fit(vectors, n)
     pages = np.maximum(1, np.ceil(share * n / PAGE)).astype(np.int64)
+    slots = np.maximum(1, np.ceil(3 * share * n / ASKERS)).astype(np.int64)  # a vector asks some three cells
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, home = pdf["id"].to_numpy(), pdf["home"].to_numpy()
         x = unit(np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(-1, DIM))
-        q, d, cosine = nearest(ids, x, pdf["indexed"].to_numpy(), k, floor)
+        q, d, cosine = nearest(ids, x, pdf["indexed"].to_numpy(), pdf["asks"].to_numpy(), k, floor)
         back = ~home[q]  # what a guest finds here may not find the guest's home
         return pd.DataFrame({"id": np.concatenate([ids[q], ids[d[back]]]), "other": np.concatenate([ids[d], ids[q[back]]]), "cosine": np.concatenate([cosine, cosine[back]])})
 
-    pairs = route(single, centroids, pages).groupBy("cell", "page").applyInPandas(search, "id long, other long, cosine double")
+    pairs = route(single, centroids, pages, slots).groupBy("cell", "page", "slot").applyInPandas(search, "id long, other long, cosine double")
     least = same.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("nth") <= k + 1).select("rep", F.col("id").alias("copy"))
     spread = pairs.join(least.withColumnRenamed("rep", "other"), "other", "left").select("id", F.coalesce("copy", "other").alias("other"), "cosine")
     spread = spread.join(same.select(F.col("id").alias("twin"), F.col("rep").alias("id")), "id", "left").select(F.coalesce("twin", "id").alias("id"), "other", "cosine")

@@ -51,6 +51,7 @@ def test_dense_cell_is_cut_in_pages(spark, monkeypatch):
     x = clusters(rng, 1, 300, 0.35)
     whole = run(spark, [(i, v, D(2025, 1, 1)) for i, v in enumerate(x)])
     monkeypatch.setattr(N, "PAGE", 64)
+    monkeypatch.setattr(N, "ASKERS", 250)
     assert len(run(spark, [(i, v, D(2025, 1, 1)) for i, v in enumerate(x)]) ^ whole) <= 0.01 * len(whole)
 
 
