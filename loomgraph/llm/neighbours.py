@@ -45,7 +45,7 @@ def usable(v: pd.Series) -> np.ndarray:
 
 
 def current(entities: DataFrame) -> DataFrame:
-    """(id, embedding) of the latest state of each id, where its vector has DIM numbers.
+    """(id, embedding) of the latest state of each id, where its vector has DIM finite numbers, not all zero.
 
     Few ids come twice: only their rows are moved to find the latest.
     """
@@ -53,7 +53,9 @@ def current(entities: DataFrame) -> DataFrame:
     rows = entities.select("id", "embedding", "ingested_at").where("id IS NOT NULL")
     once = rows.join(twice, "id", "left_anti").select("id", "embedding")
     more = latest(rows.join(twice, "id", "left_semi"), ["id"], "ingested_at", ["embedding"])
-    return once.unionByName(more).where(F.size("embedding") == DIM)
+    # Null with a null entry, NaN or infinite with such a one; squares of floats neither overflow a double nor vanish.
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("float").cast("double") * x.cast("float").cast("double"))
+    return once.unionByName(more).where((F.size("embedding") == DIM) & (square > 0) & (square < float("inf")))
 
 
 def fit(vectors: DataFrame, n: int, bound: int = SAMPLE, per_cell: int = PER_CELL, most: int = CELLS) -> tuple[np.ndarray, np.ndarray]:

@@ -46,6 +46,14 @@ def test_copies_rank_by_id_and_unusable_vectors_are_left_out(spark):
     assert run(spark, rows) == brute([i for i, _ in all_], np.array([v for _, v in all_], np.float32))
 
 
+def test_equal_unusable_vectors_are_no_copies(spark):
+    rng = np.random.default_rng(6)
+    a = clusters(rng, 1, 1, 0)[0]
+    nan, inf, null, tiny = [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] + [1.0] * 63, [1e-45] * 64
+    rows = [(1, a), (2, a), (11, [0.0] * 64), (12, [0.0] * 64), (13, [-0.0] * 64), (21, nan), (22, nan), (31, inf), (32, inf), (41, null), (42, null), (51, tiny), (52, tiny)]
+    assert run(spark, [(i, v, D(2025, 1, 1)) for i, v in rows]) == {(1, 2), (51, 52)}
+
+
 def test_dense_cell_is_cut_in_pages(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = clusters(rng, 1, 300, 0.35)
