@@ -122,8 +122,9 @@ SQL["vector_topk_typed"] = f"""WITH {_VEC} SELECT * FROM (SELECT q, id, score, r
 
 @query
 def vector_topk_per_label_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 best of each type, merged and cut at 10: as many per type as in the end, so that none of the true 10 is lost."""
     v, asked = _vectors(spark, d)
-    return search.ranked(search.vector_topk_by_group(v, asked, "ntype", 3).drop("rank"), 10)
+    return search.ranked(search.vector_topk_by_group(v, asked, "ntype", 10).drop("rank"), 10)
 
 
 SQL["vector_topk_per_label_merge"] = f"""WITH {_VEC}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, ntype ORDER BY score DESC, id) k FROM vs) WHERE k <= 3)
@@ -132,9 +133,9 @@ SELECT * FROM (SELECT q, id, score, ntype, row_number() OVER (PARTITION BY q ORD
 
 @query
 def rank_by_text(spark: SparkSession, d: str) -> DataFrame:
-    """Of the 3 best of each type, the 5 best by exact cosine."""
+    """Of the 10 best of each type, the 5 best by exact cosine."""
     v, asked = _vectors(spark, d)
-    return search.rerank(search.vector_topk_by_group(v, asked, "ntype", 3), v, asked, 5)
+    return search.rerank(search.vector_topk_by_group(v, asked, "ntype", 10), v, asked, 5)
 
 
 SQL["rank_by_text"] = f"""WITH {_VEC}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, ntype ORDER BY score DESC, id) k FROM vs) WHERE k <= 3)
