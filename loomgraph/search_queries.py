@@ -142,11 +142,11 @@ SQL["rank_by_text"] = f"""WITH {_VEC}, l AS (SELECT * FROM (SELECT *, row_number
 SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS "rank" FROM l) WHERE "rank" <= 5"""
 
 
-def _label_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """For each asked entity, the others that share most terms with its text, by BM25."""
+def _label_ranking(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    """For each asked entity, the ``k`` others that share most terms with its text, by BM25."""
     e = latest(table(spark, d, "entities"), ["id"], "ingested_at", ["text"])
     got = search.bm25(e, e.where("id % 50 = 0 AND text IS NOT NULL").select(F.col("id").alias("q"), "text"))
-    return search.ranked(got.where("q <> id"), 50)
+    return search.ranked(got.where("q <> id"), k)
 
 
 _ELAB = f"""lt AS (SELECT id, max_by(struct_pack(x := text), ingested_at).x x FROM entities GROUP BY id), ask AS (SELECT DISTINCT id q, unnest({_t("x")}) term FROM lt WHERE id % 50 = 0),
@@ -159,8 +159,9 @@ de AS (SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORD
 
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    dense = search.vector_topk(*_vectors(spark, d), 50)
-    return search.ranked(search.rrf(dense, _label_ranking(spark, d)), 20)
+    """The first 100 by vector and the first 100 by text, fused: 20 are kept."""
+    dense = search.vector_topk(*_vectors(spark, d), 100)
+    return search.ranked(search.rrf(dense, _label_ranking(spark, d, 100)), 20)
 
 
 SQL["rrf_fusion"] = f"""WITH {_VEC}, {_ELAB} SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS "rank" FROM (SELECT q, id, round(sum(1 / (60 + rnk)), 6) score FROM (SELECT q, id, rnk FROM sp UNION ALL SELECT q, id, rnk FROM de) GROUP BY ALL)) WHERE "rank" <= 20"""

@@ -20,3 +20,13 @@ def test_near_vectors_of_one_type_are_all_kept(spark, tmp_path, name, k):
     rows = [(50, "a", "", 0.0)] + [(100 + i, "a", "", 0.02 * i) for i in range(1, 13)] + [(200 + i, "b", "", 1 + 0.02 * i) for i in range(1, 13)]
     got = getattr(Q, name)(spark, entities(spark, tmp_path, rows)).orderBy("rank").select("q", "id").collect()
     assert [tuple(r) for r in got] == [(50, 100 + i) for i in range(1, k + 1)]
+
+
+def test_fusion_takes_hits_beyond_the_fiftieth_of_both_lists(spark, tmp_path):
+    """Entity 1055 is 55th in both lists; the 54 before it in one have no place in the other."""
+    ids = lambda at, n: [i for i in range(at, at + 2 * n) if i % 50][:n]
+    rows = [(50, "a", "alpha", 0.0), (1055, "a", "alpha beta", 0.5)]
+    rows += [(i, "a", "beta beta", 0.005 * (j + 1)) for j, i in enumerate(ids(2001, 54))] + [(i, "a", "beta beta", 1 + 0.005 * j) for j, i in enumerate(ids(4001, 60))]
+    rows += [(i, "a", "alpha alpha", 2.0) for i in ids(3001, 54)]
+    first = Q.rrf_fusion(spark, entities(spark, tmp_path, rows)).orderBy("rank").first()
+    assert (first.q, first.id, first.score) == (50, 1055, round(2 / 115, 6))
