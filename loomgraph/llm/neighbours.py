@@ -5,7 +5,7 @@ opens a window of some width around its own value and collides with the vectors
 tables are verified; if too few of them are near, the windows are widened (virtual rehashing) and counted again.
 
 The tables are cut into cells first, so that no task sorts or counts over all vectors: cells are those of centroids
-fitted on a bounded sample; a vector is indexed in its nearest cell and asks every cell that is nearly as near.
+fitted on a bounded sample, on two levels once there are many; a vector is indexed in its nearest cell and asks every cell that is nearly as near.
 """
 
 from __future__ import annotations
@@ -19,16 +19,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.operators.records import latest
-from loomgraph.plans.session import small
+from loomgraph.plans.session import cut, small
 
 DIM, K, FLOOR = 64, 10, 0.85
-#: Rows the centroids are fitted on, rows meant per cell, most centroids, indexed and asking rows of a task's cell.
-SAMPLE, PER_CELL, CELLS, PAGE, ASKERS = 16_384, 400, 2048, 4096, 16_384
-#: A cell is asked if its centroid's cosine is this close to the nearest's.
+#: Rows the centroids are fitted on, rows meant per cell, centroids of a level, indexed and asking rows of a task's cell.
+SAMPLE, PER_CELL, CELLS, PAGE, ASKERS = 16_384, 800, 2048, 4096, 16_384
+#: A cell is asked if its centroid's cosine is this close to the nearest's, at a floor of 0.85; lower floors look further.
 MARGIN = 0.1
-#: Hash tables; and the levels of the windows: half-width, collisions needed, distance up to which that finds nearly all.
-TABLES = 24
-LEVELS = ((0.2, 13, 0.18), (0.36, 13, 0.32), (0.68, 14, 0.5478))
+#: Hash tables, a window's half-width per unit of distance, and the collisions that make a candidate. The tables are the
+#: axes of a rotation, so a distance's squares over all of them add up to it: at the distance itself some 37 of 64 collide
+#: (30 or more for 99 in 100 pairs), at 1.5 times that 26, at twice 20.
+TABLES, WIDTH, NEED = DIM, 0.8, 30
+#: The windows' distances as shares of the distance that belongs to the floor.
+LEVELS = (0.33, 0.58, 1.0)
+#: Parts of equal size that each table is cut into; windows are rounded outward to them.
+PARTS = 128
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -58,35 +63,89 @@ def current(entities: DataFrame) -> DataFrame:
     return once.unionByName(more).where((F.size("embedding") == DIM) & (square > 0) & (square < float("inf")))
 
 
-def fit(vectors: DataFrame, n: int, bound: int = SAMPLE, per_cell: int = PER_CELL, most: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and the share of the sample each is nearest to, from about ``bound`` rows chosen by hash of id."""
-    share = min(1.0, bound / max(1, n))
-    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) or 1)).toPandas()
-    rows = rows[usable(rows["embedding"])] if len(rows) else rows
-    if not len(rows):
-        return np.zeros((1, DIM), np.float32), np.ones(1)
-    x = unit(np.array(rows.sort_values("id")["embedding"].tolist(), np.float32)).astype(np.float32)
-    k = int(np.clip(n // per_cell, 1, min(most, len(x))))
+def radius(floor: float) -> float:
+    """The distance of unit vectors whose cosine is ``floor``."""
+    return float(np.sqrt(2 - 2 * floor))
+
+
+def margin(floor: float) -> float:
+    """How much less near than the nearest a cell may be that is still asked for cosines of ``floor``."""
+    spread = lambda f: np.sqrt(1 - f * f) / f
+    return float(MARGIN * spread(floor) / spread(0.85))
+
+
+def _means(x: np.ndarray, k: int, length: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``k`` means of the rows of ``x`` and the nearest of each row; of length one if ``length``."""
     c = x[np.random.default_rng(1).permutation(len(x))[:k]].copy()
-    for _ in range(6):
-        near = np.concatenate([(x[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(x), 2048)])
-        total = np.zeros_like(c)
+    for last in range(7):
+        half = (c * c).sum(1) / 2
+        near = np.concatenate([(x[i : i + 2048] @ c.T - half).argmax(1) for i in range(0, len(x), 2048)])
+        if last == 6:
+            break
+        total, n = np.zeros_like(c), np.bincount(near, minlength=k)
         np.add.at(total, near, x)
-        size = np.linalg.norm(total, axis=1)
+        size = np.linalg.norm(total, axis=1) if length else n.astype(np.float32)
         c[size > 0] = total[size > 0] / size[size > 0, None]
-    return c, np.bincount(near, minlength=k) / len(x)
+    return c, near
+
+
+class Cells:
+    """Centroids on two levels: a cell is a coarse centroid plus a fine one, a mean of what the coarse ones leave.
 
+    With few vectors there is one fine centroid, at zero. Up to CELLS of either level follow the number of vectors, so
+    cells keep their size up to CELLS * CELLS * PER_CELL vectors.
+    """
 
-def route(vectors: DataFrame, centroids: np.ndarray, pages: np.ndarray, slots: np.ndarray, margin: float = MARGIN) -> DataFrame:
+    def __init__(self, x: np.ndarray, n: int):
+        if not len(x):
+            x = np.eye(1, DIM, dtype=np.float32)
+        cells = max(1, n // PER_CELL)
+        self.coarse, near = _means(x, min(cells, CELLS, len(x)), True)
+        fine = min(-(-cells // CELLS), CELLS, len(x))
+        self.fine = _means(x - self.coarse[near], fine, False)[0] if fine > 1 else np.zeros((1, DIM), np.float32)
+        self.norm = np.linalg.norm(self.coarse[:, None, :] + self.fine[None, :, :], axis=2) if fine > 1 else np.linalg.norm(self.coarse, axis=1)[:, None]
+        self.share = np.bincount(self.near(x, 0.0)[2], minlength=self.norm.size) / len(x)
+
+    def near(self, x: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell) of the cells within ``most`` of each row's nearest, sorted; and the nearest of each row."""
+        s = x @ self.coarse.T
+        i, c = np.nonzero(s >= s.max(1, keepdims=True) - most)
+        t = (s[i, c][:, None] + (x @ self.fine.T)[i]) / np.maximum(self.norm[c], 1e-6)
+        first = np.searchsorted(i, np.arange(len(x)))
+        best = np.maximum.reduceat(t.max(1), first) if len(x) else np.zeros(0, np.float32)
+        p, j = np.nonzero(t >= best[i][:, None] - most)
+        row, cell, score = i[p], c[p] * self.fine.shape[0] + j, t[p, j]
+        top = np.lexsort((cell, -score, row))
+        return row, cell, cell[top[np.searchsorted(row[top], np.arange(len(x)))]]
+
+
+def fit(vectors: DataFrame, n: int, bound: int = SAMPLE) -> Cells:
+    """Cells fitted on about ``bound`` rows chosen by hash of id; every row is indexed in them."""
+    share = min(1.0, bound / max(1, n))
+    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) or 1)).select("id", "embedding").toPandas()
+    rows = rows[usable(rows["embedding"])] if len(rows) else rows
+    return Cells(unit(np.array(rows.sort_values("id")["embedding"].tolist(), np.float32)).astype(np.float32) if len(rows) else np.zeros((0, DIM), np.float32), n)
+
+
+def dealt(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers below 2^31 from a hash of each id, so that no stride of ids favours a page or a slot."""
+    h = ids.astype(np.uint64)
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(k)
+    h ^= h >> np.uint64(31)
+    return (h >> np.uint64(33)).astype(np.int64), (h & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
+def route(vectors: DataFrame, cells: Cells, pages: np.ndarray, slots: np.ndarray, most: float = MARGIN) -> DataFrame:
     """(cell, page, slot, id, indexed, asks, home, v): each vector where it is indexed and where it asks.
 
     A cell's indexed vectors are dealt to its pages, its askers to its slots; every page meets every slot, so no part
     holds more than its share of either.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast((centroids, pages, slots))
+    shared = vectors.sparkSession.sparkContext.broadcast((cells, pages, slots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cents, many, wide = shared.value
+        own, many, wide = shared.value
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 part = pdf.iloc[at : at + 4096]
@@ -94,52 +153,106 @@ def route(vectors: DataFrame, centroids: np.ndarray, pages: np.ndarray, slots: n
                 if not len(part):
                     continue
                 raw = np.array(part["embedding"].tolist(), np.float32)
-                s = unit(raw).astype(np.float32) @ cents.T
-                home, best = s.argmax(1), s.max(1)
-                i, cell = np.nonzero(s >= best[:, None] - margin)
+                ids = part["id"].to_numpy()
+                deal_page, deal_slot = dealt(ids)
+                i, cell, home = own.near(unit(raw).astype(np.float32), most)
                 i, cell = np.repeat(i, many[cell]), np.repeat(cell, many[cell])
                 first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (cell[1:] != cell[:-1])]))
                 page = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                ids, at_home = part["id"].to_numpy(), home[i] == cell
+                at_home = home[i] == cell
                 blobs = np.array([r.tobytes() for r in raw], object)
-                slot = (ids[i] // many[cell]) % wide[cell]
-                yield pd.DataFrame({"cell": cell, "page": page, "slot": slot, "id": ids[i], "indexed": at_home & (ids[i] % many[cell] == page), "asks": True, "home": at_home, "v": blobs[i]})
+                slot = deal_slot[i] % wide[cell]
+                yield pd.DataFrame({"cell": cell, "page": page, "slot": slot, "id": ids[i], "indexed": at_home & (deal_page[i] % many[cell] == page), "asks": True, "home": at_home, "v": blobs[i]})
                 # The other slots of its page see an indexed vector too.
                 j = np.repeat(np.arange(len(ids)), wide[home])
                 slot = np.arange(len(j)) - np.repeat(np.cumsum(wide[home]) - wide[home], wide[home])
-                other = slot != (ids[j] // many[home[j]]) % wide[home[j]]
+                other = slot != deal_slot[j] % wide[home[j]]
                 j, slot = j[other], slot[other]
                 if len(j):
-                    yield pd.DataFrame({"cell": home[j], "page": ids[j] % many[home[j]], "slot": slot, "id": ids[j], "indexed": True, "asks": False, "home": True, "v": blobs[j]})
+                    yield pd.DataFrame({"cell": home[j], "page": deal_page[j] % many[home[j]], "slot": slot, "id": ids[j], "indexed": True, "asks": False, "home": True, "v": blobs[j]})
 
     return vectors.select("id", "embedding").mapInPandas(run, "cell int, page int, slot int, id long, indexed boolean, asks boolean, home boolean, v binary")
 
 
+def at_least(marks: Iterator[np.ndarray], need: int) -> np.ndarray:
+    """The bits set in ``need`` or more of ``marks``, arrays of 64-bit words: sums by carry-save adders, bit by bit."""
+    planes: list[list[np.ndarray]] = []
+
+    def add(x: np.ndarray, w: int) -> None:
+        while True:
+            if w == len(planes):
+                planes.append([])
+            planes[w].append(x)
+            if len(planes[w]) < 3:
+                return
+            a, b, c = planes[w]
+            ab = a ^ b
+            planes[w] = [ab ^ c]
+            x, w = (a & b) | (ab & c), w + 1
+
+    for m in marks:
+        add(m, 0)
+    w = 0
+    while w < len(planes):
+        if len(planes[w]) == 2:
+            a, b = planes[w]
+            planes[w] = [a ^ b]
+            add(a & b, w + 1)
+        w += 1
+    out = np.full_like(planes[0][0], ~np.uint64(0))
+    for w in range(max(len(planes), need.bit_length())):
+        bit = planes[w][0] if w < len(planes) else np.zeros_like(out)
+        out = bit & out if need >> w & 1 else bit | out
+    return out
+
+
 class Tables:
-    """Sorted projections of some vectors, asked by query-centred windows."""
+    """Sorted projections of some vectors on the axes of a random rotation, asked by query-centred windows.
+
+    ``before[t, b]`` marks the vectors in the first b parts of table t, a bit each, so the vectors of a window are the
+    difference of two marks, and 64 of them are counted at once.
+    """
 
     def __init__(self, data: np.ndarray, seed: int = 3):
-        self.lines = np.random.default_rng(seed).standard_normal((data.shape[1], TABLES)).astype(np.float32)
+        n, dim = data.shape
+        self.n, self.step = n, -(-n // PARTS)
+        # Rows of a rotation, as long as those of random normal lines: a difference of length d projects with spread d.
+        self.lines = (np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0][:, :TABLES] * np.sqrt(dim)).astype(np.float32)
         p = data @ self.lines
-        self.sorted = np.sort(p, axis=0)
-        self.type = np.uint16 if len(data) < 60_000 else np.uint32
-        self.rank = np.empty((TABLES, len(data)), self.type)
-        for j in range(TABLES):
-            self.rank[j, np.argsort(p[:, j], kind="stable")] = np.arange(len(data))
-
-    def collisions(self, q: np.ndarray, width: float) -> np.ndarray:
-        """How many tables hold each vector within ``width`` of each query."""
+        order = np.argsort(p, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, 0).T)
+        words, edges = -(-n // 64), np.arange(-(-n // self.step) + 1)[:, None]
+        self.before = np.empty((TABLES, len(edges), words), np.uint64)
+        part = np.full(words * 64, len(edges), np.int32)
+        for t in range(TABLES):
+            part[order[:, t]] = np.arange(n) // self.step
+            self.before[t] = np.packbits(part[None, :] < edges, axis=1, bitorder="little").view(np.uint64)
+
+    def _windows(self, q: np.ndarray, width: float) -> Iterator[np.ndarray]:
         p = q @ self.lines
-        count = np.zeros((len(q), self.rank.shape[1]), np.uint8)
-        for j in range(TABLES):
-            lo = np.searchsorted(self.sorted[:, j], p[:, j] - width, "left")
-            hi = np.searchsorted(self.sorted[:, j], p[:, j] + width, "right")
-            inside = (self.rank[j][None, :] - lo.astype(self.type)[:, None]) < (hi - lo).astype(self.type)[:, None]
-            count += inside.view(np.uint8)
-        return count
+        for t in range(TABLES):
+            lo = np.searchsorted(self.sorted[t], p[:, t] - width, "left") // self.step
+            hi = -(-np.searchsorted(self.sorted[t], p[:, t] + width, "right") // self.step)
+            yield self.before[t, hi] ^ self.before[t, lo]
+
+    def candidates(self, q: np.ndarray, width: float, need: int = NEED) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector): the vectors that at least ``need`` tables hold within ``width`` of the query."""
+        got = at_least(self._windows(q, width), need)
+        return np.nonzero(np.unpackbits(got.view(np.uint8), axis=1, bitorder="little")[:, : self.n])
+
+
+def _kth(row: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The ``k``-th largest value of each of ``n`` rows, the least if it has fewer; ``row`` is in order."""
+    size = np.bincount(row, minlength=n)
+    first = np.cumsum(size) - size
+    if size.max(initial=0) <= k:
+        return np.full(n, -np.inf, np.float32)
+    wide = np.full((n, size.max()), -np.inf, np.float32)
+    wide[row, np.arange(len(row)) - first[row]] = value
+    return -np.partition(-wide, k - 1, axis=1)[:, k - 1]
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarray, k: int = K, floor: float = FLOOR, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarray, k: int = K, floor: float = FLOOR, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, indexed row, cosine) of the up to ``k`` most similar of each row that asks, ties by smaller id."""
     where = np.flatnonzero(indexed)
     x32, found = x.astype(np.float32), []
@@ -147,15 +260,15 @@ def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     t, d32 = Tables(x32[where]), x32[where]
     open_ = np.flatnonzero(asks)
-    for level, (width, need, radius) in enumerate(LEVELS):
-        last, still = level == len(LEVELS) - 1, []
+    for level in LEVELS:
+        r, last, still = level * radius(floor), level == LEVELS[-1], []
         for at in range(0, len(open_), block):
             q = open_[at : at + block]
-            qi, di = np.nonzero(t.collisions(x32[q], width) >= need)
+            qi, di = t.candidates(x32[q], WIDTH * r)
             other = ids[q[qi]] != ids[where[di]]
             qi, di = qi[other], di[other]
-            sim = np.einsum("ij,ij->i", x32[q[qi]], d32[di])
-            enough = np.bincount(qi[sim >= 1 - radius * radius / 2], minlength=len(q)) >= k
+            sim = np.concatenate([np.einsum("ij,ij->i", x32[q[qi[i : i + 65_536]]], d32[di[i : i + 65_536]]) for i in range(0, len(qi), 65_536)] or [np.zeros(0, np.float32)])
+            enough = np.bincount(qi[sim >= 1 - r * r / 2], minlength=len(q)) >= k
             if not last:
                 still.append(q[~enough])
                 ok = enough[qi]
@@ -163,11 +276,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarra
             ok = sim >= floor - 1e-5
             qi, di, sim = qi[ok], di[ok], sim[ok]
             # The k-th largest of each query, with room for rounding, bounds what is worked out in double precision.
-            order = np.lexsort((-sim, qi))
-            qi, di, sim = qi[order], di[order], sim[order]
-            first = np.searchsorted(qi, np.arange(len(q)))
-            kth = np.minimum(first + k - 1, np.append(first[1:], len(qi)) - 1)
-            ok = sim >= sim[kth[qi]] - 1e-5 if len(qi) else np.zeros(0, bool)
+            ok = sim >= _kth(qi, sim, len(q), k)[qi] - 1e-5
             qi, di = q[qi[ok]], where[di[ok]]
             exact = np.round(np.einsum("ij,ij->i", x[qi], x[di]), 6)
             order = np.lexsort((ids[di], -exact, qi))
@@ -182,26 +291,26 @@ def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarra
 
 
 def copies(vectors: DataFrame) -> DataFrame:
-    """(id, rep): the ids whose vector another id has too, and the least id of each such group."""
-    key = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(11), "embedding").alias("h2")]
-    keyed = vectors.select("id", *key)
+    """vectors(id, h1, h2): (id, rep), the ids whose vector another id has too, and the least id of each such group."""
+    keyed = vectors.select("id", "h1", "h2")
     groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return keyed.join(groups, ["h1", "h2"]).select("id", "rep")
 
 
 def neighbours(entities: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
-    """(id, other, cosine, place): the ``k`` most similar others of each id with a cosine of ``floor`` or more.
+    """(id, other, cosine, place): the ``k`` most similar others of each id with a cosine of ``floor`` (above 0) or more.
 
     Equal vectors are searched once, by their least id, and spread again at the end: of a group only its k + 1 least
     ids can be among anyone's k most similar. Null, short, long, zero and non-finite vectors have no neighbours.
     """
-    vectors = current(entities)
+    if not 0 < floor < 1:
+        raise ValueError("floor must lie between 0 and 1")
+    vectors, n = cut(current(entities).select("id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(11), "embedding").alias("h2")))
     same = small(copies(vectors))
     single = vectors.join(same.where("id <> rep").select("id"), "id", "left_anti")
-    n = entities.count()
-    centroids, share = fit(vectors, n)
-    pages = np.maximum(1, np.ceil(share * n / PAGE)).astype(np.int64)
-    slots = np.maximum(1, np.ceil(3 * share * n / ASKERS)).astype(np.int64)  # a vector asks some three cells
+    cells = fit(vectors, n)
+    pages = np.maximum(1, np.ceil(cells.share * n / PAGE)).astype(np.int64)
+    slots = np.maximum(1, np.ceil(3 * cells.share * n / ASKERS)).astype(np.int64)  # a vector asks some three cells
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, home = pdf["id"].to_numpy(), pdf["home"].to_numpy()
@@ -210,7 +319,7 @@ def neighbours(entities: DataFrame, k: int = K, floor: float = FLOOR) -> DataFra
         back = ~home[q]  # what a guest finds here may not find the guest's home
         return pd.DataFrame({"id": np.concatenate([ids[q], ids[d[back]]]), "other": np.concatenate([ids[d], ids[q[back]]]), "cosine": np.concatenate([cosine, cosine[back]])})
 
-    pairs = route(single, centroids, pages, slots).groupBy("cell", "page", "slot").applyInPandas(search, "id long, other long, cosine double")
+    pairs = route(single, cells, pages, slots, margin(floor)).groupBy("cell", "page", "slot").applyInPandas(search, "id long, other long, cosine double")
     least = same.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("nth") <= k + 1).select("rep", F.col("id").alias("copy"))
     spread = pairs.join(least.withColumnRenamed("rep", "other"), "other", "left").select("id", F.coalesce("copy", "other").alias("other"), "cosine")
     spread = spread.join(same.select(F.col("id").alias("twin"), F.col("rep").alias("id")), "id", "left").select(F.coalesce("twin", "id").alias("id"), "other", "cosine")

@@ -69,10 +69,57 @@ def test_empty_and_single(spark):
 
 
 @pytest.mark.parametrize("width", [0.1, 0.5, 3.0])
-def test_windows_of_sorted_projections_count_collisions(width):
+@pytest.mark.parametrize("n", [1, 63, 200, 1000])
+def test_windows_of_sorted_projections_count_collisions(width, n):
     rng = np.random.default_rng(5)
-    x = N.unit(rng.standard_normal((200, N.DIM))).astype(np.float32)
+    x = N.unit(rng.standard_normal((n, N.DIM))).astype(np.float32)
     t = N.Tables(x)
-    p = x @ t.lines
-    want = (np.abs(p[:20, None, :] - p[None, :, :]) <= width).sum(2)
-    assert np.abs(t.collisions(x[:20], width).astype(int) - want).max() <= 1
+    q = x[:20]
+    rank = np.array([np.searchsorted(t.sorted[j], (x @ t.lines)[:, j]) for j in range(N.TABLES)])
+    lo = np.array([np.searchsorted(t.sorted[j], (q @ t.lines)[:, j] - width) // t.step for j in range(N.TABLES)])
+    hi = np.array([-(-np.searchsorted(t.sorted[j], (q @ t.lines)[:, j] + width, "right") // t.step) for j in range(N.TABLES)])
+    part = rank // t.step
+    count = ((part[:, None, :] >= lo[:, :, None]) & (part[:, None, :] < hi[:, :, None])).sum(0)
+    for need in (1, 7, 30, 64):
+        got = np.zeros(count.shape, bool)
+        got[t.candidates(q, width, need)] = True
+        assert (got != (count >= need)).mean() <= 0.001  # equal projections may sort either way
+
+
+@pytest.mark.parametrize("floor", [0.85, 0.5])
+def test_recall_at_any_floor_and_pairs_left_unverified(spark, floor):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([clusters(rng, 60, 15, s) for s in (0.2, 0.5, 0.9)] + [rng.standard_normal((300, N.DIM)).astype(np.float32)])
+    ids = list(range(len(x)))
+    got = {tuple(r) for r in N.close_pairs(N.neighbours(spark.createDataFrame([(i, [float(y) for y in v], D(2025, 1, 1), 1, 1) for i, v in zip(ids, x)], KIND), floor=floor)).collect()}
+    true = brute(ids, x, floor=floor)
+    assert len(got & true) / len(true) >= 0.99 and len(got & true) / len(got) >= 0.99
+    u = N.unit(x).astype(np.float32)
+    t = N.Tables(u)
+    share = [len(t.candidates(u[:256], N.WIDTH * level * N.radius(floor))[0]) / 256 / len(x) for level in N.LEVELS]
+    assert share[0] < 0.05 and share[1] < 0.1 and share[2] < (0.05 if floor == 0.85 else 0.5)
+
+
+def test_pages_and_slots_are_even_whatever_the_stride():
+    for ids in (np.arange(0, 40_000, 4), np.arange(10_000) * 4096, np.arange(10_000)):
+        page, slot = N.dealt(ids)
+        for parts in (4, 7):
+            assert np.bincount(page % parts, minlength=parts).max() < 1.1 * len(ids) / parts
+            assert np.bincount(page % parts * parts + slot % parts, minlength=parts * parts).max() < 1.4 * len(ids) / parts**2
+
+
+def test_two_levels_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([clusters(rng, 50, 20, 0.3), clusters(rng, 2, 100, 0.3)])
+    monkeypatch.setattr(N, "PER_CELL", 20)
+    monkeypatch.setattr(N, "CELLS", 12)
+    cells = N.Cells(N.unit(x).astype(np.float32), len(x))
+    assert cells.coarse.shape[0] == 12 and cells.fine.shape[0] == 5 and abs(cells.share.sum() - 1) < 1e-9
+    ids = list(range(len(x)))
+    got, true = run(spark, [(i, v, D(2025, 1, 1)) for i, v in zip(ids, x)]), brute(ids, x)
+    assert len(got & true) / len(true) >= 0.97
+
+
+def test_floor_must_be_between_0_and_1(spark):
+    with pytest.raises(ValueError):
+        N.neighbours(spark.createDataFrame([], KIND), floor=0.0)
