@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def delivered(at: str) -> Column:
+    """A delivery time that compares; a null one is earlier than any other."""
+    return F.coalesce(F.col(at).cast("timestamp_ntz"), F.timestamp_micros(F.lit(-(2**55))).cast("timestamp_ntz"))
+
+
 def latest(df: DataFrame, keys: list[str | Column], at: str, cols: list[str | Column], arrival: str | None = None) -> DataFrame:
     """One row per key: ``cols`` of the row delivered last, and its earliest delivery as ``arrival``.
 
@@ -19,8 +24,7 @@ def latest(df: DataFrame, keys: list[str | Column], at: str, cols: list[str | Co
     src = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*cols).alias("_row"), F.col(at).alias("_at"))
     src = src.where(" AND ".join(f"_k{i} IS NOT NULL" for i in range(len(keys))))
     extra = [F.min("_at").alias("_first")] if arrival else []
-    early = F.timestamp_micros(F.lit(-(2**55))).cast("timestamp_ntz")
-    out = src.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.max_by("_row", F.coalesce(F.col("_at").cast("timestamp_ntz"), early)).alias("_row"), *extra)
+    out = src.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.max_by("_row", delivered("_at")).alias("_row"), *extra)
     names = df.select(*keys).columns
     return out.select(*[F.col(f"_k{i}").alias(n) for i, n in enumerate(names)], "_row.*", *([F.col("_first").alias(arrival)] if arrival else []))
 
