@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.names import channel_key, handle_key, message_name
 from loomgraph.operators.forest import climb, cycles
-from loomgraph.operators.records import latest, ordinals
+from loomgraph.operators.records import delivered, latest, ordinals
 from loomgraph.plans.session import cut
 
 #: White space (no-break space included) and zero-width characters: a text of these alone is missing.
@@ -28,14 +28,12 @@ def roles(people: DataFrame) -> DataFrame:
     return people.where("handle IS NOT NULL").groupBy("handle").agg(F.min(F.coalesce("role", F.lit("user"))).alias("role"))
 
 
-def turns(chat: DataFrame, people: DataFrame, text: bool = False) -> DataFrame:
-    """Final turns: channel, seq, node, up, handle, role, said, versions[, author, ts, text].
+def turns(chat: DataFrame, people: DataFrame) -> DataFrame:
+    """Final turns: channel, seq, node, up, at (delivery), handle, role, said; narrow rows, to be written once.
 
     Rows without channel or seq are no messages. reply_to 0 means none. An unknown or null author is a user.
     """
-    cols = [handle_key(F.col("author")).alias("handle"), has_text(F.col("text")).alias("said"), F.col("reply_to")]
-    if text:
-        cols += ["author", "ts", "text"]
+    cols = [handle_key(F.col("author")).alias("handle"), has_text(F.col("text")).alias("said"), F.col("reply_to"), delivered("arrived_at").alias("at")]
     rec = latest(chat, [channel_key(F.col("channel")).alias("channel"), F.col("seq").alias("seq")], "arrived_at", cols)
     node = lambda seq: message_name(F.col("channel"), F.col(seq))
     rec = rec.select("*", node("seq").alias("node"), F.when(F.col("reply_to") != 0, node("reply_to")).alias("up")).drop("reply_to")
@@ -73,10 +71,14 @@ def dropped(per: DataFrame) -> DataFrame:
 def transcripts(chat: DataFrame, people: DataFrame) -> DataFrame:
     """The surviving conversations' turns in order: channel, root_seq, turn, seq, role, author, ts, text.
 
-    Turns without text are left out of the order; a conversation needs a reply and an answered user to survive.
+    Turns without text are left out of the order; a conversation needs a reply and an answered user to survive. Texts
+    are joined at the end, by the delivery that made each surviving turn.
     """
-    msgs, _ = cut(turns(chat, people, text=True))
+    msgs, _ = cut(turns(chat, people))
     member, per = conversations(msgs)
     keep = per.where("replies > 0 AND NOT broken AND NOT circular AND answered").select("conv", "root_seq")
-    rows = msgs.where("said").join(member, "node").join(keep, "conv").select("channel", "root_seq", "seq", "role", F.col("handle").alias("author"), "ts", "text")
-    return ordinals(rows, ["channel", "root_seq"], "seq")
+    kept = msgs.where("said").join(member, "node").join(keep, "conv").select("channel", "root_seq", "seq", "role", F.col("handle").alias("author"), "at")
+    rows = chat.select(channel_key(F.col("channel")).alias("channel"), "seq", delivered("arrived_at").alias("at"), "ts", "text")
+    # Deliveries of one time are identical.
+    said = rows.join(kept.select("channel", "seq", "at"), ["channel", "seq", "at"], "left_semi").groupBy("channel", "seq").agg(F.first(F.struct("ts", "text")).alias("row"))
+    return ordinals(kept.drop("at").join(said, ["channel", "seq"]).select("channel", "root_seq", "seq", "role", "author", "row.*"), ["channel", "root_seq"], "seq")

@@ -1,7 +1,8 @@
 """Evaluation texts leaking into training text.
 
 The test items' word n-grams are normalised, hashed and broadcast, in blocks of bounded size; every training text is
-scanned once per block, window by window, and each hit is verified word by word.
+scanned window by window, once for all blocks that a task may hold, and each hit is verified word by word. Items of
+fewer words than a window share none and are never reported.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.plans.session import cut
+
 #: Words of a window.
 SPAN = 13
-#: Characters of test items per broadcast block.
-BLOCK_CHARS = 8_000_000
+#: Characters of test items per broadcast block, blocks that one scan holds, characters of texts looked up at a time.
+BLOCK_CHARS, HELD, SLICE = 8_000_000, 4, 1_000_000
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
@@ -93,44 +96,65 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
         yield [(r.item_id, [t for t in r.texts if t]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
 
 
-def _scan(docs: DataFrame, grams, schema: str, make) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = grams.value
-        get, gap = g.vocab.get, [-1]
-        for pdf in batches:
-            flat: list[int] = []
-            starts = []
-            for text in pdf["text"]:
-                starts.append(len(flat))
-                flat += [get(w, -1) for w in words(text)]
+def _groups(items: DataFrame, span: int) -> Iterator[list]:
+    """The items' n-grams, broadcast: up to HELD blocks (some 300 MB of a task) for each scan."""
+    sc, held = items.sparkSession.sparkContext, []
+    for block in _blocks(items):
+        held.append(sc.broadcast(Grams(block, span)))
+        if len(held) == HELD:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of some SLICE characters, of one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= SLICE:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _hits(texts: list[str | None], held: list) -> Iterator[tuple[np.ndarray, np.ndarray, Grams, np.ndarray]]:
+    """(text's number, word's number, n-grams, item) of the windows that each block of n-grams shares with the texts."""
+    for lo, hi in _slices(texts):
+        tokens = [words(t) for t in texts[lo:hi]]
+        starts = np.cumsum([0, *(len(w) + 1 for w in tokens[:-1])])
+        for block in held:
+            g, gap, flat = block.value, [-1], []
+            get = g.vocab.get
+            for w in tokens:
+                flat += [get(x, -1) for x in w]
                 flat += gap
             start, item = g.hits(np.array(flat, np.int64))
             if len(start):
-                yield make(pdf, g, np.array(starts), start, item)
-
-    return docs.mapInPandas(run, schema)
+                doc = np.searchsorted(starts, start, "right") - 1
+                yield lo + doc, start - starts[doc], g, item
 
 
 def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, item_id, windows): documents that share ``span`` consecutive words with an item's passage or question.
 
     ``windows`` counts the document's windows found in the item. Null, blank and shorter texts share nothing; a
-    document's repeated rows give repeated results; items with equal passages are all reported.
+    document's repeated rows give repeated results; items with equal passages are all reported. Map-only: one scan for
+    every HELD blocks of items, that is for 32 million characters of them.
     """
+    docs, schema, out = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL"), "doc_id long, item_id string, windows long", None
+    for held in _groups(items, span):
 
-    def make(pdf, g, starts, start, item):
-        doc = np.searchsorted(starts, start, "right") - 1
-        out = pd.DataFrame({"d": doc, "i": item, "at": start}).drop_duplicates().groupby(["d", "i"], as_index=False).size()
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[out["d"]], "item_id": [g.names[k] for k in out["i"]], "windows": out["size"]})
-
-    return _over(docs, items, span, "doc_id long, item_id string, windows long", make)
-
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                ids = pdf["doc_id"].to_numpy()
+                for doc, at, g, item in _hits(list(pdf["text"]), held):
+                    per = pd.DataFrame({"d": doc, "i": item, "at": at}).drop_duplicates().groupby(["d", "i"], as_index=False).size()
+                    yield pd.DataFrame({"doc_id": ids[per["d"]], "item_id": [g.names[k] for k in per["i"]], "windows": per["size"]})
 
-def _over(docs: DataFrame, items: DataFrame, span: int, schema: str, make) -> DataFrame:
-    sc, out = docs.sparkSession.sparkContext, None
-    docs = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    for block in _blocks(items):
-        part = _scan(docs, sc.broadcast(Grams(block, span)), schema, make)
+        part = docs.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -153,39 +177,46 @@ def word_spans(text: str) -> list[tuple[int, int]] | None:
     return [(at[m.start()][0], at[m.end() - 1][1]) for m in _WORD.finditer(flat)]
 
 
+def without(text: str, at: list[int], span: int) -> str:
+    """``text`` without the windows of ``span`` words that begin at the words ``at``; all of it goes if it cannot be traced."""
+    where = word_spans(text)
+    if where is None:
+        return ""
+    keep, last = [], 0
+    for a in sorted(at):
+        lo, hi = where[a][0], where[a + span - 1][1]
+        if lo > last:
+            keep.append(text[last:lo])
+        last = max(last, hi)
+    return "".join([*keep, text[last:]])
+
+
 def clean(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, text, removed): every document, without the spans it shares with any item.
+    """(doc_id, text, removed): every row, without the spans it shares with any item.
 
     ``removed`` counts the characters taken out; a document whose characters cannot be traced loses its whole text.
+    Spans are cut where they are found, row by row, so repeated ids and null ids are no matter, nothing is shuffled and
+    the corpus is read once. Items beyond HELD blocks add a pass for each HELD more; the places found so far are then
+    written along with the texts.
     """
-
-    def spans(pdf, g, starts, start, item):
-        doc = np.searchsorted(starts, start, "right") - 1
-        out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[doc], "at": start - starts[doc]}).drop_duplicates()
-        return out
-
-    found = _over(docs, items, span, "doc_id long, at long", spans).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-
-    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, removed = [], []
-            for text, at in zip(pdf["text"], pdf["at"]):
-                where = word_spans(text)
-                if where is None:
-                    texts.append("")
-                    removed.append(len(text))
-                    continue
-                keep, last = [], 0
-                for a in sorted(at):
-                    lo, hi = where[a][0], where[a + span - 1][1]
-                    if lo > last:
-                        keep.append(text[last:lo])
-                    last = max(last, hi)
-                keep.append(text[last:])
-                texts.append("".join(keep))
-                removed.append(len(text) - len(texts[-1]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "removed": removed})
-
-    dirty = docs.select("doc_id", "text").join(found, "doc_id").mapInPandas(cut_out, "doc_id long, text string, removed long")
-    pure = docs.select("doc_id", "text").join(found.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text", F.lit(0).cast("long").alias("removed"))
-    return pure.unionByName(dirty)
+    groups = list(_groups(items, span))
+    docs = docs.select("doc_id", "text", F.lit(0).cast("long").alias("removed"), F.array().cast("array<int>").alias("at"))
+    for i, held in enumerate(groups):
+        last = i == len(groups) - 1
+
+        def run(batches: Iterator[pd.DataFrame], held=held, last=last) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                texts, places = list(pdf["text"]), [set(x) for x in pdf["at"]]
+                for doc, at, _, _ in _hits(texts, held):
+                    for d, a in zip(doc.tolist(), at.tolist()):
+                        places[d].add(a)
+                if last:
+                    new = [without(t, p, span) if p else t for t, p in zip(texts, places)]
+                    pdf = pdf.assign(text=new, removed=[len(t or "") - len(n or "") for t, n in zip(texts, new)])
+                    places = [[]] * len(pdf)
+                yield pdf.assign(at=[sorted(p) for p in places])
+
+        docs = docs.mapInPandas(run, "doc_id long, text string, removed long, at array<int>")
+        if not last:
+            docs, _ = cut(docs)
+    return docs.drop("at")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import conversations, languages, leaks, neighbours, packing, pieces
-from loomgraph.plans.session import table
+from loomgraph.plans.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,7 +31,8 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.dropped(conversations.conversations(conversations.turns(table(spark, d, "chat"), table(spark, d, "people")))[1])
+    msgs, _ = cut(conversations.turns(table(spark, d, "chat"), table(spark, d, "people")))
+    return conversations.dropped(conversations.conversations(msgs)[1])
 
 
 @query
@@ -50,11 +52,27 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.where("piece_no IS NOT NULL").drop("block_no")
 
 
+@query
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized text: a hash of its pieces' own parts put together, and whether every piece is within the limit."""
+    own = F.expr("substring(content, cast(own - start + 1 as int))")
+    per = p5_pieces(spark, d).groupBy("src_table", "item_key").agg(F.sort_array(F.collect_list(F.struct("piece_no", own.alias("x")))).alias("parts"), F.bool_and(F.length("content") <= pieces.LIMIT).alias("within"))
+    return per.select("src_table", "item_key", F.md5(F.array_join(F.transform("parts", lambda p: p["x"]), "")).alias("text_md5"), "within")
+
+
 @query
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")))
 
 
+@query
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document: whether it is in a container, how often its first part is, and containers beyond the capacity that it is in."""
+    packed, _ = cut(p6_containers(spark, d))
+    over = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > packing.CAPACITY).select("container_id", F.lit(1).alias("over"))
+    return packed.join(over, "container_id", "left").groupBy("doc_id").agg(F.bool_or(F.col("container_id").isNotNull()).alias("placed"), F.count_if("part = 0").alias("firsts"), F.count("over").alias("over"))
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -112,3 +130,8 @@ b AS (SELECT src_table, item_key, trim(regexp_replace(u.b, '[ \t\r\n]+', ' ', 'g
 n AS (SELECT *, row_number() OVER (PARTITION BY src_table, item_key ORDER BY i) block_no FROM b WHERE b <> '')
 SELECT src_table, item_key, 0::BIGINT block_no FROM big UNION ALL SELECT src_table, item_key, block_no FROM n WHERE length(b) > 1600
 """
+SQL["p5_rebuilt"] = r"""
+WITH r AS (SELECT 'tickets' src_table, key item_key, max_by(struct_pack(x := description), ingested_at).x x FROM tickets GROUP BY 2
+  UNION ALL SELECT 'raw_records', id, max_by(struct_pack(x := body), loaded_at).x FROM raw_records GROUP BY 2)
+SELECT src_table, item_key, md5(x) text_md5, true within FROM r WHERE length(x) > 1600"""
+SQL["p6_kept"] = "SELECT doc_id, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '', false) placed, 1::BIGINT firsts, 0::BIGINT AS over FROM documents"

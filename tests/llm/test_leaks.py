@@ -67,3 +67,29 @@ def test_very_long_text_and_empty_tables(spark):
     assert run(spark, [(1, long_ + passage + long_)], [("q", passage, None)])[2] == [(1, "q")]
     assert run(spark, [], [("q", passage, None)])[2] == []
     assert run(spark, [(1, passage)], [])[2] == []
+
+
+def test_clean_with_repeated_ids_and_blocks(spark, monkeypatch):
+    one, two = " ".join(f"p{j}" for j in range(20)), " ".join(f"r{j}" for j in range(15))
+    docs = [(1, f"short {one} end"), (1, f"a much longer beginning before {one} end"), (1, "no leak at all"), (None, f"x {two}"), (2, f"{one} and {two}!")]
+    want = [(None, "x "), (1, "a much longer beginning before  end"), (1, "no leak at all"), (1, "short  end"), (2, " and !")]
+    for chars, held in ((8_000_000, 4), (60, 1), (60, 2)):
+        monkeypatch.setattr(L, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(L, "HELD", held)
+        d, e, _ = run(spark, docs, [("q", one, None), ("r", two, one)])
+        got = [(r.doc_id, r.text) for r in L.clean(d, e).collect()]
+        assert sorted(got, key=lambda x: (x[0] or 0, x[1])) == want
+
+
+def test_slices_cover_all_texts(spark, monkeypatch):
+    passage = " ".join(f"p{j}" for j in range(14))
+    docs = [(i, f"{'y ' * (i % 7)}{passage}") for i in range(40)] + [(99, "nothing"), (98, "")]
+    whole = run(spark, docs, [("q", passage, None)])[2]
+    monkeypatch.setattr(L, "SLICE", 50)
+    assert run(spark, docs, [("q", passage, None)])[2] == whole == [(i, "q") for i in range(40)]
+    assert list(L._slices(["a" * 30, None, "b" * 30, "c"])) == [(0, 3), (3, 4)] and list(L._slices([])) == []
+
+
+def test_a_window_of_clean_text_is_left_out_of_every_row(spark):
+    d, e, _ = run(spark, [(1, None), (2, "")], [])
+    assert sorted((r.doc_id, r.text, r.removed) for r in L.clean(d, e).collect()) == [(1, None, 0), (2, "", 0)]

@@ -36,16 +36,64 @@ def test_cuts_at_headings_then_blocks_then_sentences():
     assert all(long_[s:].startswith("This") for s, o, e in got)
 
 
+def over(text):
+    opened = []
+    P.split(text, opened=opened)
+    return P.oversized(opened)
+
+
 def test_oversized_blocks():
     big = "a b " * 500
-    assert P.oversized("x" * 1600) == []
-    assert P.oversized("x" * 1601) == [0, 1]
-    assert P.oversized("\n \n" + "short\n\n \t\n" + big + "\r\r" + "y" * 1700) == [0, 2, 3]
-    assert P.oversized("s" + " " * 5000 + "e") == [0]
+    assert over("x" * 1600) == []
+    assert over("x" * 1601) == [0, 1]
+    assert over("\n \n" + "short\n\n \t\n" + big + "\r\r" + "y" * 1700) == [0, 2, 3]
+    assert over("s" + " " * 5000 + "e") == [0]
     lines = "word " * 200
-    assert P.oversized(lines + "\r\n" + lines) == [0, 1]  # one line end, not two
-    assert P.oversized(lines + "\r\n\r\n" + lines) == [0]
-    assert P.oversized(lines + "\n\r\n" + lines) == [0]
+    assert over(lines + "\r\n" + lines) == [0, 1]  # one line end, not two
+    assert over(lines + "\r\n\r\n" + lines) == [0]
+    assert over(lines + "\n\r\n" + lines) == [0]
+    assert over("```\n" + big + "\n\n" + big + "\n```\n\n# x\n\n" + big) == [0, 1, 2, 4]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_descended_blocks_are_those_of_a_plain_division(seed):
+    import re
+
+    rnd = random.Random(seed)
+    bits = ["# Head\n", "```\n", "\n\n", "\r\n \t\r\n", "- item\n", "  - sub item\n", "A sentence. " * 9, "word " * 70, "x" * 300, "\r", "   "]
+    text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 300)))
+    kept = [p for p in (P.plain(x) for x in re.split(r"\n(?:[ \t]*\n)+", text.replace("\r\n", "\n").replace("\r", "\n"))) if p]
+    assert over(text) == ([0, *(i for i, p in enumerate(kept, 1) if len(p) > 1600)] if len(text) > 1600 else [])
+    check(text, 1600, 160)
+
+
+def own(text, limit, overlap):
+    return [text[o:e] for _, o, e in check(text, limit, overlap)]
+
+
+def test_a_node_within_the_limit_is_never_cut():
+    text = "a" * 1499 + "\n\n" + "b " * 300
+    assert own(text, 1600, 160) == ["a" * 1499 + "\n\n", "b " * 300]
+
+
+def test_rests_of_a_section_are_not_glued_to_the_next():
+    text = "# A\n\n" + "One two three. " * 40 + "\n\n# B\n\nshort\n\n# C\n\nshorter"
+    got = own(text, 400, 0)
+    assert got[0].startswith("# A\n\nOne") and got[-1] == "# B\n\nshort\n\n# C\n\nshorter" and not any("# B" in x for x in got[:-1])
+
+
+def test_fences_are_kept_whole_and_hold_no_headings():
+    fence = "```sh\n# not a heading\n\nrun it\n\n# nor this\n```\n\n"
+    text = "# A\n\n" + "Some words here. " * 20 + "\n\n" + fence + "# B\n\n" + "More words. " * 30
+    assert sum(fence.strip() in x for x in own(text, 400, 40)) == 1
+    assert "".join(own("```\n# open\n\n" + "word " * 200, 300, 0)).startswith("```")
+
+
+def test_lists_are_cut_between_items_and_nested_items():
+    text = "".join(f"- item {i}\n" + "".join(f"  - part {i}.{j} of it\n" for j in range(30 if i == 2 else 2)) for i in range(8))
+    got = own(text, 300, 0)
+    assert all(x.lstrip().startswith("- ") for x in got)
+    assert [x for x in got if x.startswith("- item 3")] and not [x for x in got if "part 2." in x and "item 3" in x]
 
 
 T = "key string, description string, ingested_at timestamp_ntz, body string, block_no int, at int"
