@@ -71,14 +71,65 @@ def test_nulls_blanks_long_and_empty(spark, table):
 
 
 def test_score_is_the_bundled_vectors_cosine():
-    v = L.gram_vectors(3, 256)
+    import pandas as pd
+
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 5, (7, len(v))).astype(float)
-    t = L.prototypes(counts, v)
     s = L.Sentences(["the quick brown fox"])
-    p = np.log1p(counts).astype(np.float32) @ v.astype(np.float32)
+    g = np.unique(np.concatenate([s.grams, rng.integers(0, L._A**3, 500)]))
+    counts = pd.DataFrame([(i, x, rng.integers(1, 5)) for i in range(7) for x in g], columns=["i", "g", "n"])
+    known = L.prototypes([f"l{i}" for i in range(7)], counts, 256)
+    v = L.gram_vectors(g, L.letter_vectors(256)).astype(np.float32)
+    p = np.log1p(counts["n"].to_numpy().reshape(7, -1)).astype(np.float32) @ v
     p /= np.linalg.norm(p, axis=1, keepdims=True)
     p -= p.mean(0)
     p /= np.linalg.norm(p, axis=1, keepdims=True)
-    bundle = v[s.grams].astype(np.float32).sum(0)
-    assert np.allclose(s.score(t)[0], bundle @ p.T / np.sqrt(256) / np.sqrt(len(s.grams)), atol=1e-3)
+    bundle = v[np.searchsorted(g, s.grams)].sum(0)
+    own, n = s.score(known)
+    assert n[0] == len(s.grams) and np.allclose(own[0], bundle @ p.T / np.sqrt(256), atol=1e-2)
+
+
+MORE = {
+    "pl": "Spotkanie zostało przełożone, ponieważ nikt nie sprawdził limitów przed weekendem. Powinniśmy poczekać na następne okno i zapisać, co się tam wydarzyło.",
+    "sv": "Mötet flyttades eftersom ingen hade kontrollerat gränserna före helgen. Vi bör vänta på nästa fönster och skriva ner vad som hände där.",
+    "ru": "Встреча была перенесена, потому что никто не проверил ограничения перед выходными. Нам следует подождать следующего окна и записать, что там произошло.",
+    "zh": "会议被推迟了，因为周末之前没有人检查限制。我们应该等待下一个窗口，并记录那里发生的事情。团队将准备一份新计划，并在今晚发送给所有参与者。请大家按时参加，不要忘记。",
+}
+
+
+def rotated(text, sep=" "):
+    words = text.split(sep) if sep else list(text)
+    return [sep.join(words[i:] + words[:i]) + "." for i in range(12)]
+
+
+def fitted(spark, texts, extra=()):
+    rows = [(t, c) for c, text in texts.items() for t in rotated(text, "" if c == "zh" else " ")] + list(extra)
+    return L.fit(spark.createDataFrame([(n, t, c, "x", "x") for n, (t, c) in enumerate(rows)], KIND))
+
+
+def test_languages_come_from_the_labels_in_any_script(spark):
+    known = fitted(spark, TEXTS | MORE)
+    assert known.langs == sorted([*TEXTS, *MORE])
+    rows = [(i, t, c) for i, (c, t) in enumerate((TEXTS | MORE).items())]
+    got, wrong, _ = run(spark, known, rows)
+    assert got == {(i, c) for i, _, c in rows} and wrong == set()
+    assert run(spark, known, [(1, MORE["ru"] + " " + MORE["zh"], "ru")])[1] == {(1, "ru"), (1, "zh")}
+
+
+def test_texts_in_none_of_the_languages(spark, table):
+    rows = [(i, 3 * (t + " "), c) for i, (c, t) in enumerate(MORE.items())]
+    assert run(spark, table, rows)[1] == set()  # labels of languages without a profile are kept
+    assert run(spark, table, [(i, t, None) for i, t, _ in rows])[1] == {(i, L.OTHER) for i in range(4)}
+    assert run(spark, table, [(i, t, "en") for i, t, _ in rows])[1] == {(i, L.OTHER) for i in range(4)}
+    docs = spark.createDataFrame([(1, TEXTS["en"] + "\n" + MORE["ru"], "en", "", "")], KIND)
+    assert {r.lang for r in L.segments(docs, table).collect()} == {"en", L.OTHER}
+
+
+def test_a_label_that_no_text_bears_out_has_no_profile(spark):
+    said = "The people who wrote these pages were asked to read them again before anything else would be changed. Most of what they found had been known for years, though none of them could say where it came from. Others thought that the work should be shared, so that every group might learn from it and help with the next one."
+    known = fitted(spark, TEXTS, [(t, "en") for t in rotated(said)] + [(t, "pl") for t in (TEXTS["en"] + " " + said, said, TEXTS["en"], "We should write down what they found before the next one.")])
+    assert known.langs == sorted(TEXTS)
+
+
+def test_a_quoted_passage_counts_and_a_title_does_not(spark, table):
+    got, _, _ = run(spark, table, [(1, TEXTS["de"] + ' "' + TEXTS["fr"] + '"', "de"), (2, TEXTS["de"] * 2 + ' "' + "the way that nobody had checked the limits before the weekend came around, and " * 3 + '"', "de")])
+    assert got == {(1, "de"), (1, "fr"), (2, "de")}
