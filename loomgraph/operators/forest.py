@@ -1,15 +1,19 @@
 """Parent-child links to full hierarchies.
 
-A table of links is a forest when each node has at most one parent. Subtree sizes are summed upwards, each parent
-hands its children consecutive preorder ranges by prefix sums, and the ranges then answer ancestor and descendant
-questions. Nodes that the upward pass never settles are on a cycle or lead to one. Both passes double the distance
+A table of links is a forest when each node has at most one parent. Subtree sizes are summed upwards; every parent
+hands its children consecutive preorder ranges by prefix sums over their sizes, roots likewise over the whole forest;
+adding these downwards gives each node its range. The ranges then answer all questions: one sweep over them tells how
+many are open at a node (its depth) and which root's is, and a node's descendants are those whose number lies in its
+range. Nodes that the upward pass never settles are on a cycle or lead to one. Both passes double the distance
 they look, so a chain of n links takes log2(n) rounds of joins, each over the nodes that are still open.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +25,10 @@ from loomgraph.plans.session import cut, cut_by, joined
 BUILD = "shuffle_hash"
 #: Children of one parent that one task may order.
 SIBLINGS = 50_000
+#: Preorder numbers that one task sweeps.
+SWEEP = 65_536
+#: Links that one task finishes by plain search, some 50 MB; more go on in rounds of joins, to the same result.
+LOCAL = 200_000
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -47,28 +55,26 @@ def subtree_sizes(links: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None
     return inner, (open_.select("node", "up") if left else None)
 
 
-def climb(state: DataFrame, total: str | None = None, weight: str | None = None, path: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """state(node, up[, total][, weight][, path]): follow ``up`` to nodes that have no row.
+def climb(state: DataFrame, total: str | None = None, weight: str | None = None, own: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """state(node, up[, total][, weight][, own]): follow ``up`` to nodes that have no row.
 
-    Gives (node, root, depth[, total][, weight][, path]), with ``total`` summed and ``path`` joined along the way, and the open
-    rest (node, up) that runs in a circle, or None. ``weight`` is any upper bound of a node's height plus one.
+    Gives (node, root[, total][, weight][, own]), with ``total`` summed along the way, and the open rest (node, up) that runs
+    in a circle, or None. ``weight`` is any upper bound of a node's height plus one, ``own`` columns stay as they are.
     """
-    spark, extra = state.sparkSession, [c for c in (total, weight, "path" if path else None) if c]
-    open_, left = cut(state.select("node", "up", F.lit(1).cast("long").alias("depth"), *extra))
+    spark, own = state.sparkSession, tuple(c for c in (weight, *own) if c)
+    extra = [*([total] if total else []), *own]
+    open_, left = cut(state.select("node", "up", *extra))
     schema, kept, settled, k = open_.schema, [], [], 0
     look = open_
     while left:
         if weight:
             look = look.where(F.col(weight) > 2**k)
-        look = look.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), *[F.col(c).alias(f"{c}2") for c in extra if c != weight])
+        look = look.select(F.col("node").alias("up"), F.col("up").alias("up2"), *([F.col(total).alias(f"{total}2")] if total else []))
         j = open_.join(look.hint(BUILD), "up", "left")
-        cols = [F.col("node"), F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")]
+        cols = [F.col("node"), F.coalesce("up2", "up").alias("up")]
         if total:
             cols.append((F.col(total) + F.coalesce(f"{total}2", F.lit(0))).alias(total))
-        if weight:
-            cols.append(F.col(weight))
-        if path:
-            cols.append(F.when(F.col("up2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
+        cols += [F.col(c) for c in own]
         # Settled nodes too low to be looked up again are kept apart from the rest.
         low = F.col(weight) <= 2 ** (k + 1) if weight else F.lit(False)
         kind = F.when(F.col("up2").isNotNull(), "open").when(low, "low").otherwise("kept")
@@ -82,7 +88,44 @@ def climb(state: DataFrame, total: str | None = None, weight: str | None = None,
             break
         left, k = now, k + 1
     done = joined(spark, settled, schema)
-    return done.select("node", F.col("up").alias("root"), "depth", *extra), (open_.select("node", "up") if left else None)
+    return done.select("node", F.col("up").alias("root"), *extra), (open_.select("node", "up") if left else None)
+
+
+def _circles(up: dict[str, str]) -> dict[str, str]:
+    """Each node's circle, by plain search: the least node of the one it is on or leads to; nodes that lead to none are left out."""
+    out: dict[str, str | None] = {}
+    for start in up:
+        path, at = [], start
+        while at in up and at not in out:
+            out[at] = None
+            path.append(at)
+            at = up[at]
+        name = out.get(at)
+        if name is None and at in up and path and at in path:
+            name = min(path[path.index(at) :])
+        for n in path:
+            out[n] = name
+    return {n: c for n, c in out.items() if c is not None}
+
+
+def small_cycles(links: DataFrame) -> DataFrame:
+    """``cycles`` in one task: (node, cycle, member)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[str, str] = {}
+        for pdf in batches:
+            up.update(zip(pdf["node"], pdf["parent"]))
+        name = _circles(up)
+        on = set()
+        for c in set(name.values()):
+            at = up[c]
+            on.add(c)
+            while at != c:
+                on.add(at)
+                at = up[at]
+        yield pd.DataFrame({"node": list(name), "cycle": list(name.values()), "member": [n in on for n in name]})
+
+    return links.select("node", "parent").coalesce(1).mapInPandas(run, "node string, cycle string, member boolean")
 
 
 def cycles(links: DataFrame, far: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,6 +133,10 @@ def cycles(links: DataFrame, far: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Gives (node, cycle) for the nodes on circles and for all of ``far``; a cycle is named by its least node.
     """
+    links, n = cut(links.select("node", "parent"))
+    if n <= LOCAL:
+        got, _ = cut(small_cycles(links))
+        return got.where("member").select("node", "cycle"), got.select("node", "cycle")
     image = far.select("up").distinct().count()
     while True:
         hop = far.select(F.col("node").alias("up"), F.col("up").alias("up2"))
@@ -130,28 +177,51 @@ def sibling_offsets(kids: DataFrame, links: DataFrame) -> DataFrame:
     return own.join(sums, ["parent", "part"]).select("node", "parent", "size", (F.lit(1) + F.col("before") + F.col("own")).alias("off"))
 
 
+def swept(ranges: DataFrame) -> DataFrame:
+    """ranges(node, lft, size, is_root), all over one numbering: adds ``depth`` and ``root``, read off the ranges.
+
+    A node's depth is the number of ranges that are open where its own begins, its root the last that began. The numbers
+    are cut into pages of SWEEP; what is open where a page begins comes from the pages' sums.
+    """
+    begin = ranges.select("node", "lft", "size", F.col("lft").alias("at"), (F.col("size") > 1).cast("int").alias("step"), F.when(F.col("is_root"), F.struct("lft", "node")).alias("top"))
+    end = ranges.where("size > 1").select(F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("lft"), F.lit(None).cast("long").alias("size"), (F.col("lft") + F.col("size")).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("struct<lft: bigint, node: string>").alias("top"))
+    events = begin.unionByName(end).withColumn("page", F.expr(f"at div {SWEEP}"))
+    pages = events.groupBy("page").agg(F.sum("step").alias("sum"), F.max("top").alias("top"))
+    w = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # a row for each page
+    pages = pages.select("page", F.coalesce(F.sum("sum").over(w), F.lit(0)).alias("before"), F.max("top").over(w).alias("top_before"))
+    w = Window.partitionBy("page").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumns({"open": F.sum("step").over(w), "top": F.max("top").over(w)}).where("node IS NOT NULL")
+    depth = F.col("open") + F.col("before") - F.when(F.col("size") > 1, 1).otherwise(0)
+    return rows.join(pages, "page").select("node", F.coalesce("top", "top_before")["node"].alias("root"), depth.alias("depth"), "lft", "size")
+
+
 def nested_sets(links: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """links(node, parent), parents not null: the forest as ranges.
 
-    Gives (node, root, depth, lft, size) of the settled nodes below a root (descendants of a node: same root, lft in
-    [lft, lft + size); a root itself has lft 0 and depth 0), and far links of the unsettled ones, or None.
-    A node's row appears once; null nodes or parents must not occur; an empty table gives empty tables.
+    Gives (node, root, depth, lft, size) of the roots (depth 0) and of the settled nodes below them, written (the descendants of a node are
+    those with lft in (lft, lft + size)), and far links of the unsettled ones, or None.
+    A node's row appears once; null, empty nodes or parents must not occur; an empty table gives empty tables.
     """
     if n is None:  # else they are written already
         links, n = cut(links.select("node", "parent"))
     below, far = subtree_sizes(links, n)
     kids = links.join(far.select("node"), "node", "left_anti") if far is not None else links
-    kids = kids.join(below.hint(BUILD), "node", "left").select("node", "parent", (F.lit(1) + F.coalesce("below", F.lit(0))).alias("size"))
-    done, _ = climb(sibling_offsets(kids, links).select("node", F.col("parent").alias("up"), "off", "size"), total="off", weight="size")
-    return done.select("node", "root", "depth", F.col("off").alias("lft"), "size"), far
+    sized = kids.join(below.hint(BUILD), "node", "left").select("node", "parent", (F.lit(1) + F.coalesce("below", F.lit(0))).alias("size"))
+    tops = below.join(links.select("node"), "node", "left_anti").select("node", F.lit("").alias("parent"), (F.lit(1) + F.col("below")).alias("size"))
+    tree, _ = cut(sized.unionByName(tops))
+    off = sibling_offsets(tree, tree).select("node", F.col("parent").alias("up"), F.when(F.col("parent") == "", F.col("off") - 1).otherwise(F.col("off")).alias("off"), "size", (F.col("parent") == "").alias("is_root"))
+    # Roots have no parent's row to look up; below them the numbers add up along the way down.
+    done, _ = climb(off, total="off", weight="size", own=("is_root",))
+    ranges, _ = cut(swept(done.select("node", F.col("off").alias("lft"), "size", "is_root")))
+    return ranges, far
 
 
-def descendants(ranges: DataFrame, of: DataFrame, page: int = 4096) -> DataFrame:
+def descendants(ranges: DataFrame, of: DataFrame, page: int = 256) -> DataFrame:
     """All (ancestor, node) pairs below the nodes of ``of``, a subset of nested_sets' rows, by their ranges.
 
     Preorder numbers are cut into pages and a range is joined with the pages it meets, so work follows the output.
     """
-    ask = of.select(F.col("node").alias("ancestor"), "root", F.col("lft").alias("lo"), (F.col("lft") + F.col("size") - 1).alias("hi")).where("hi > lo")
+    ask = of.select(F.col("node").alias("ancestor"), F.col("lft").alias("lo"), (F.col("lft") + F.col("size") - 1).alias("hi")).where("hi > lo")
     ask = ask.withColumn("page", F.explode(F.sequence(F.expr(f"lo div {page}"), F.expr(f"hi div {page}"))))
-    have = ranges.select("node", "root", "lft", F.expr(f"lft div {page}").alias("page"))
-    return ask.join(have, ["root", "page"]).where("lft > lo AND lft <= hi").select("ancestor", "node")
+    have = ranges.select("node", "lft", F.expr(f"lft div {page}").alias("page"))
+    return ask.join(have, "page").where("lft > lo AND lft <= hi").select("ancestor", "lo", "node")

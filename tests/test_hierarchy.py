@@ -54,8 +54,9 @@ def run(spark, links, single=()):
     return h, {tuple(r) for r in h.depths.collect()}, {tuple(r) for r in h.circles.collect()}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_graphs_against_search(spark, seed):
+@pytest.mark.parametrize("seed, local", [(0, 200_000), (1, 200_000), (2, 200_000), (2, 0)])
+def test_random_graphs_against_search(spark, seed, local, monkeypatch):
+    monkeypatch.setattr(forest, "LOCAL", local)
     rnd = random.Random(seed)
     n = 60
     links = {(f"n{i:03}", f"n{rnd.randrange(max(1, i)):03}") for i in range(1, n) if rnd.random() < 0.9}
@@ -79,10 +80,27 @@ def test_long_chain_with_side_branches_and_self_loop(spark):
 
 
 def test_paths(spark):
-    state = spark.createDataFrame([("b", "a", ["b"]), ("c", "b", ["c"]), ("d", "c", ["d"])], "node string, up string, path array<string>")
-    done, rest = forest.climb(state, path=True)
-    assert rest is None
-    assert {r.node: (r.root, r.depth, r.path) for r in done.collect()} == {"b": ("a", 1, ["b"]), "c": ("a", 2, ["b", "c"]), "d": ("a", 3, ["b", "c", "d"])}
+    kind = "node string, parent string"
+    out = hierarchy.outline(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("e", "b"), ("y", "x"), ("s", "s"), ("t", "s")], kind)).collect()
+    assert {r.node: (r.root, r.depth, r.size, r.path) for r in out} == {
+        "a": ("a", 0, 5, ["a"]), "b": ("a", 1, 4, ["a", "b"]), "c": ("a", 2, 2, ["a", "b", "c"]), "d": ("a", 3, 1, ["a", "b", "c", "d"]), "e": ("a", 2, 1, ["a", "b", "e"]),
+        "x": ("x", 0, 2, ["x"]), "y": ("x", 1, 1, ["x", "y"]),
+    }
+
+
+def test_sweep_over_pages(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SWEEP", 7)
+    rnd = random.Random(5)
+    up = {i: rnd.randrange(max(0, i - 6), i) for i in range(1, 200) if i % 23}
+    links = {(f"n{a:03}", f"n{b:03}") for a, b in up.items()}
+    ranges, far = forest.nested_sets(spark.createDataFrame(sorted(links), "node string, parent string"))
+
+    def path(i):
+        return [i] if i not in up else [*path(up[i]), i]
+
+    assert far is None
+    rows = {r.node: (r.root, r.depth) for r in ranges.collect()}
+    assert rows == {f"n{i:03}": (f"n{path(i)[0]:03}", len(path(i)) - 1) for i in {*up, *up.values()}}
 
 
 def test_many_siblings_are_ordered_in_parts(spark, monkeypatch):
@@ -94,6 +112,15 @@ def test_many_siblings_are_ordered_in_parts(spark, monkeypatch):
     assert rows["k07"].lft < rows["g"].lft < rows["k07"].lft + 3
 
 
+def test_ladder_takes_few_rounds(spark, monkeypatch):
+    rounds, cut = [], forest.cut
+    for m in (forest, hierarchy):
+        monkeypatch.setattr(m, "cut", lambda df: rounds.append(1) or cut(df))
+    links = {(f"a{i + 1:02}", f"{x}{i:02}") for i in range(24) for x in "ab"} | {(f"b{i + 1:02}", f"{x}{i:02}") for i in range(24) for x in "ab"}
+    _, d, c = run(spark, links)
+    assert (d, c) == brute(links) and len(rounds) < 20
+
+
 def test_empty_links(spark):
     _, d, c = run(spark, set())
     assert d == set() and c == set()
