@@ -67,10 +67,11 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Of each document: whether it is in a container, how often its first part is, and containers beyond the capacity that it is in."""
+    """Of each document: how often its first part is placed, parts with tokens but no container, and its containers beyond the capacity."""
     packed, _ = cut(p6_containers(spark, d))
     over = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > packing.CAPACITY).select("container_id", F.lit(1).alias("over"))
-    return packed.join(over, "container_id", "left").groupBy("doc_id").agg(F.bool_or(F.col("container_id").isNotNull()).alias("placed"), F.count_if(F.col("part") == 0).alias("firsts"), F.count("over").alias("too_full"))
+    lost = F.col("container_id").isNull() & (F.col("n_tokens") > 0)
+    return packed.join(over, "container_id", "left").groupBy("doc_id").agg(F.count_if(F.col("part") == 0).alias("firsts"), F.count_if(lost).alias("lost"), F.count("over").alias("too_full"))
 
 
 @query
@@ -134,4 +135,4 @@ SQL["p5_rebuilt"] = r"""
 WITH r AS (SELECT 'tickets' src_table, key item_key, max_by(struct_pack(x := description), ingested_at).x x FROM tickets GROUP BY 2
   UNION ALL SELECT 'raw_records', id, max_by(struct_pack(x := body), loaded_at).x FROM raw_records GROUP BY 2)
 SELECT src_table, item_key, md5(x) text_md5, true AS "within" FROM r WHERE length(x) > 1600"""
-SQL["p6_kept"] = "SELECT doc_id, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '', false) placed, 1::BIGINT firsts, 0::BIGINT too_full FROM documents"
+SQL["p6_kept"] = "SELECT doc_id, 1::BIGINT firsts, 0::BIGINT lost, 0::BIGINT too_full FROM documents"
