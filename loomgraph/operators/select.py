@@ -9,24 +9,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
+from loomgraph.operators.records import ordinals
 
-def _undominated(x: np.ndarray) -> np.ndarray:
+
+def _undominated(x: np.ndarray, block: int = 2048) -> np.ndarray:
     """Rows of ``x`` that no other row is at least as good as on all axes and better on one; larger is better."""
     x = np.unique(x, axis=0)[::-1]  # whatever dominates a row comes before it
-    keep: list[int] = []
-    for i in range(len(x)):
-        if not keep or not (x[keep] >= x[i]).all(1).any():
-            keep.append(i)
-    return x[keep]
+    keep = x[:0]
+    for i in range(0, len(x), block):
+        part = x[i : i + block]
+        for j in range(0, len(keep), block):
+            part = part[~(keep[None, j : j + block] >= part[:, None]).all(2).any(1)]
+        inside = (part[None, :] >= part[:, None]).all(2)
+        keep = np.concatenate([keep, part[~np.tril(inside, -1).any(1)]])
+    return keep
 
 
-def skyline(rows: DataFrame, maximize: list[str], minimize: list[str]) -> DataFrame:
+def skyline(rows: DataFrame, maximize: list[str], minimize: list[str], fan: int = 8) -> DataFrame:
     """The rows that no other row dominates (as good on every axis, better on one); rows with a null axis are left out.
 
-    Equal rows share a fate. Each task keeps the skyline of its own rows; one task then compares what is left, which
-    is about as much as the answer.
+    Equal rows share a fate. Each task keeps the skyline of its own rows; these are merged ``fan`` at a time, so that
+    the last task compares no more than what ``fan`` merged parts could not rule out.
     """
     axes = [F.col(c).cast("double") for c in maximize] + [-F.col(c).cast("double") for c in minimize]
     names = [f"_x{i}" for i in range(len(axes))]
@@ -39,28 +44,65 @@ def skyline(rows: DataFrame, maximize: list[str], minimize: list[str]) -> DataFr
         yield pd.DataFrame(best, columns=names)
 
     schema = ", ".join(f"{n} double" for n in names)
-    points = rows.select(*names).where(reduce(Column.__and__, [F.col(n).isNotNull() for n in names]))
-    keep = points.mapInPandas(run, schema).coalesce(1).mapInPandas(run, schema)
+    keep = rows.select(*names).where(reduce(Column.__and__, [F.col(n).isNotNull() for n in names])).mapInPandas(run, schema)
+    for parts in (fan * fan, fan, 1):
+        keep = keep.repartition(parts).mapInPandas(run, schema)
     return rows.join(keep, names, "left_semi").drop(*names)
 
 
-def running_best(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """Adds ``best``, the largest value so far within ``by``, and ``improved``, whether this row raised it."""
-    w = Window.partitionBy(by).orderBy(order)
-    before = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("best", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("improved", F.col(value) > F.coalesce(before, F.lit(float("-inf"))))
+#: Numbers of the order that one task holds of a group.
+PAGE = 100_000
 
 
-def streaks(rows: DataFrame, by: str, order: str, progress: Column) -> DataFrame:
-    """Adds ``stale``: how many rows in a row, up to this one, made no progress."""
-    w = Window.partitionBy(by).orderBy(order)
-    rows = rows.withColumn("_p", progress.cast("int")).withColumn("_g", F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("stale", F.sum(1 - F.col("_p")).over(Window.partitionBy(by, "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_g")
+def _pages(rows: DataFrame, by: str, order: str, page: int) -> tuple[DataFrame, WindowSpec, WindowSpec]:
+    """``rows`` with ``_page``; the window of a page's own rows, and that of a group's pages before one."""
+    rows = rows.withColumn("_page", F.expr(f"`{order}` div {page}"))
+    return rows, Window.partitionBy(by, "_page").orderBy(order), Window.partitionBy(by).orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_best(rows: DataFrame, by: str, order: str, value: str, page: int = PAGE) -> DataFrame:
+    """Adds ``best``, the largest value so far within ``by``, and ``improved``, whether this row raised it.
+
+    ``order`` is a whole number. A group is cut into pages of it, whose maxima are taken first, so that a group with
+    a third of all rows is not one task's; ``streaks``, ``deltas`` and ``followed`` do likewise.
+    """
+    paged, own, pages = _pages(rows, by, order, page)
+    per = paged.groupBy(by, "_page").agg(F.max(value).alias("_m")).select(by, "_page", F.max("_m").over(pages).alias("_before"))
+    before = F.greatest(F.max(value).over(own.rowsBetween(Window.unboundedPreceding, -1)), "_before")
+    best = F.greatest(F.max(value).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_before")
+    return paged.join(per, [by, "_page"]).select(*rows.columns, best.alias("best"), (F.col(value) > F.coalesce(before, F.lit(float("-inf")))).alias("improved"))
 
 
-def deltas(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+def streaks(rows: DataFrame, by: str, order: str, progress: Column, page: int = PAGE) -> DataFrame:
+    """Adds ``stale``: how many rows in a row, up to this one, made no progress."""
+    paged, own, pages = _pages(rows.withColumn("_p", progress.cast("int")), by, order, page)
+    last = F.max(F.when(F.col("_p") == 1, F.col(order)))
+    per = paged.groupBy(by, "_page").agg(F.count(F.lit(1)).alias("_n"), last.alias("_last"))
+    tail = paged.join(per.select(by, "_page", "_last"), [by, "_page"]).where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).groupBy(by, "_page").agg(F.count(F.lit(1)).alias("_tail"))
+    # Rows without progress at the end of the pages before, back to the last progress.
+    per = per.join(tail, [by, "_page"], "left").withColumn("_group", F.count("_last").over(pages.rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy(by, "_group").orderBy("_page").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumn("_run", F.sum(F.coalesce("_tail", F.lit(0))).over(since))
+    per = per.select(by, "_page", F.coalesce(F.lag("_run").over(Window.partitionBy(by).orderBy("_page")), F.lit(0)).alias("_before"))
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    got = paged.withColumn("_g", F.sum("_p").over(upto)).join(per, [by, "_page"])
+    stale = F.sum(1 - F.col("_p")).over(Window.partitionBy(by, "_page", "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return got.select(*rows.columns, (stale + F.when(F.col("_g") == 0, F.col("_before")).otherwise(0)).alias("stale"))
+
+
+def followed(rows: DataFrame, by: str, order: str, value: str, name: str, page: int = PAGE) -> DataFrame:
+    """Adds ``name``: the ``value`` of the row before, null for a group's first."""
+    paged, own, _ = _pages(rows, by, order, page)
+    per = paged.groupBy(by, "_page").agg(F.max_by(F.struct(value), order).alias("_last"))
+    per = per.select(by, "_page", F.lag("_last").over(Window.partitionBy(by).orderBy("_page")).alias("_before"))
+    inner = F.when(F.row_number().over(own) == 1, F.col("_before")[value]).otherwise(F.lag(value).over(own))
+    return paged.join(per, [by, "_page"]).select(*rows.columns, inner.alias(name))
+
+
+def deltas(rows: DataFrame, by: str, order: str, value: str, page: int = PAGE) -> DataFrame:
     """Adds ``delta``, the change from the row before; the first row's is its value."""
-    return rows.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(Window.partitionBy(by).orderBy(order)), F.lit(0)))
+    got = followed(rows, by, order, value, "_was", page)
+    return got.select(*rows.columns, (F.col(value) - F.coalesce("_was", F.lit(0))).alias("delta"))
 
 
 def unique_best(scores: DataFrame, item: str, who: str, value: str) -> DataFrame:
@@ -88,6 +130,16 @@ def last_per(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def pairs_in_order(rows: DataFrame, by: str, order: str, key: str) -> DataFrame:
-    """(by, a, b): neighbours two by two; an odd last one has no partner."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return rows.withColumn("_n", n).groupBy(by, F.floor(F.col("_n") / 2).alias("pair")).agg(F.min_by(key, "_n").alias("a"), F.when(F.count(F.lit(1)) > 1, F.max_by(key, "_n")).alias("b"))
+    """(by, a, b): neighbours two by two by the whole number ``order``, unique within ``by``; an odd last one has no partner."""
+    placed = ordinals(rows, [by], order, "_n")
+    return placed.groupBy(by, F.floor((F.col("_n") - 1) / 2).alias("pair")).agg(F.min_by(key, "_n").alias("a"), F.when(F.count(F.lit(1)) > 1, F.max_by(key, "_n")).alias("b"))
+
+
+def sample(ids: DataFrame, key: str, n: int, seed: int, epoch: int = 0) -> DataFrame:
+    """``n`` rows by an arithmetic hash of a whole-number key, the seed and the epoch: the same ones whenever asked.
+
+    With epochs the sample rotates; with another seed it is another one. The hash leaves few ties, which go by key. An
+    operator whose feature is the bound; the rows are taken by a distributed top-k.
+    """
+    h = F.pmod(F.pmod(F.col(key) * 7919 + (seed * 100_003 + epoch) % 1_000_003, F.lit(1_000_003)) * 7877, F.lit(999_983))
+    return ids.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")

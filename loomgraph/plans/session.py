@@ -32,16 +32,36 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g", *
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a temporary folder of its own; on a cluster that is an error, since no folder
+    of one machine is shared.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-loomgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders written by this driver and not yet removed.
+_written: list[str] = []
+
+
 def _new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that ``cut`` wrote; for when the results that read them are consumed. Gives their number."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame) -> tuple[DataFrame, int]:

@@ -127,7 +127,7 @@ def vector_topk_per_label_merge(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked(search.vector_topk_by_group(v, asked, "ntype", 10).drop("rank"), 10)
 
 
-SQL["vector_topk_per_label_merge"] = f"""WITH {_VEC}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, ntype ORDER BY score DESC, id) k FROM vs) WHERE k <= 3)
+SQL["vector_topk_per_label_merge"] = f"""WITH {_VEC}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, ntype ORDER BY score DESC, id) k FROM vs) WHERE k <= 10)
 SELECT * FROM (SELECT q, id, score, ntype, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS "rank" FROM l) WHERE "rank" <= 10"""
 
 
@@ -138,7 +138,7 @@ def rank_by_text(spark: SparkSession, d: str) -> DataFrame:
     return search.rerank(search.vector_topk_by_group(v, asked, "ntype", 10), v, asked, 5)
 
 
-SQL["rank_by_text"] = f"""WITH {_VEC}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, ntype ORDER BY score DESC, id) k FROM vs) WHERE k <= 3)
+SQL["rank_by_text"] = f"""WITH {_VEC}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, ntype ORDER BY score DESC, id) k FROM vs) WHERE k <= 10)
 SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS "rank" FROM l) WHERE "rank" <= 5"""
 
 
@@ -153,8 +153,8 @@ _ELAB = f"""lt AS (SELECT id, max_by(struct_pack(x := text), ingested_at).x x FR
 tok AS (SELECT id, {_t("x")} ts FROM lt WHERE x IS NOT NULL), st AS (SELECT count(*) FILTER (len(ts) > 0) n, sum(len(ts)) / count(*) FILTER (len(ts) > 0) av FROM tok),
 post AS (SELECT id, term, count(*) tf, dl FROM (SELECT id, len(ts) dl, unnest(ts) term FROM tok) WHERE term IN (SELECT term FROM ask) GROUP BY id, term, dl), df AS (SELECT term, count(*) df FROM post GROUP BY 1),
 bm AS (SELECT q, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 4) score FROM post JOIN df USING (term) JOIN ask USING (term), st WHERE q <> id GROUP BY q, id),
-sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rnk FROM bm) WHERE rnk <= 50),
-de AS (SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rnk FROM vs) WHERE rnk <= 50)"""
+sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rnk FROM bm) WHERE rnk <= 100),
+de AS (SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rnk FROM vs) WHERE rnk <= 100)"""
 
 
 @query
@@ -394,8 +394,7 @@ SQL["tournament_pairs"] = "SELECT c_nationkey, n // 2 pair, min(c_custkey) a, CA
 @query
 def lineage_edges(spark: SparkSession, d: str) -> DataFrame:
     """From state to state: how often a user's event of one type was followed by one of another."""
-    w = select.Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, d, "events").select("event_type", F.lag("event_type").over(w).alias("parent"))
+    e = select.followed(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", "parent")
     return e.where("parent IS NOT NULL").groupBy("parent", F.col("event_type").alias("child")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -142,3 +142,52 @@ def test_explore_stops_when_enough(edges, start):
     assert got == {("q", "a", 0), ("q", "b", 1)}
     got = rows(agentic.explore(start, edges, lambda seen: seen.where("false").select("q")))
     assert max(r[2] for r in got) == 3
+
+
+def test_ordered_windows_by_pages(spark):
+    import random
+
+    rnd = random.Random(3)
+    data = [(rnd.choice("uvw"), i, rnd.choice([None, 1, 2, 3, 4]), rnd.random() < 0.2) for i in rnd.sample(range(400), 150)]
+    df = frame(spark, data, "u string, n bigint, v bigint, ok boolean")
+    want: dict = {}
+    for u in "uvw":
+        best, last, stale = None, None, 0
+        for _, n, v, ok in sorted(r for r in data if r[0] == u):
+            up = None if v is None else best is None or v > best
+            best = v if best is None else best if v is None else max(best, v)
+            stale = 0 if ok else stale + 1
+            want[u, n], last = (best, up, stale, last), v
+    for page in (7, 100, 10_000):
+        a = {(r.u, r.n): (r.best, r.improved) for r in select.running_best(df, "u", "n", "v", page).collect()}
+        b = {(r.u, r.n): r.stale for r in select.streaks(df, "u", "n", F.col("ok"), page).collect()}
+        c = {(r.u, r.n): r.was for r in select.followed(df, "u", "n", "v", "was", page).collect()}
+        assert {k: (*a[k], b[k], c[k]) for k in a} == want
+
+
+def test_skyline_is_merged_over_exchanges(spark, capsys):
+    import numpy as np
+
+    x = np.random.default_rng(1).dirichlet(np.ones(3), 4000).round(3)
+    pts = frame(spark, [(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double").repartition(6)
+    got = select.skyline(pts, ["a", "b"], ["c"])
+    best = {i for i, r in enumerate(x) if not ((x[:, 0] >= r[0]) & (x[:, 1] >= r[1]) & (x[:, 2] <= r[2]) & ((x != r).any(1))).any()}
+    assert {r.id for r in got.collect()} == best and len(best) > 100
+    got.explain()
+    assert capsys.readouterr().out.count("RoundRobinPartitioning") + 1 >= 3
+
+
+def test_sample_is_stable_and_rotates(spark):
+    ids = spark.range(1000).withColumnRenamed("id", "k")
+    a, b, c = ({r.k for r in select.sample(ids, "k", 50, 7, e).collect()} for e in (0, 0, 1))
+    assert a == b and len(a) == 50 and a != c
+
+
+def test_written_tables_are_cleared(spark):
+    import os
+
+    from loomgraph.plans import session
+
+    session.cut(spark.range(3))
+    at = session._written[-1].removeprefix("file://")
+    assert os.path.isdir(at) and session.clear(spark) >= 1 and not os.path.exists(at)
