@@ -25,6 +25,8 @@ from loomgraph.plans.session import cut, cut_by, joined
 BUILD = "shuffle_hash"
 #: Children of one parent that one task may order.
 SIBLINGS = 50_000
+#: Numbers that each part of the roots has; a part holds some SIBLINGS roots and all below them.
+SPAN = 2**40
 #: Preorder numbers that one task sweeps.
 SWEEP = 65_536
 #: Links that one task finishes by plain search, some 50 MB; more go on in rounds of joins, to the same result.
@@ -158,23 +160,29 @@ def cycles(links: DataFrame, far: DataFrame) -> tuple[DataFrame, DataFrame]:
     return on, far.join(on.select(F.col("node").alias("up"), "cycle"), "up").select("node", "cycle")
 
 
-def sibling_offsets(kids: DataFrame, links: DataFrame) -> DataFrame:
-    """kids(node, parent, size), of ``links``: adds ``off``, 1 plus the sizes of the siblings before it (in order of node).
+def sibling_offsets(kids: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """kids(node, parent, size), of ``n`` links and the roots above them (parent null): (node, up, off, size, is_root).
 
+    A child's ``off`` is 1 plus the sizes of the siblings before it (in order of node). Roots are dealt to parts, each with
+    a range of SPAN numbers of its own, and follow one another there; ``up`` is empty for them.
     A parent with more than SIBLINGS children has them cut into ranges by hash; the ranges' sums are taken first.
     """
+    part = F.pmod(F.xxhash64("node"), F.lit(max(1, n // SIBLINGS)))
+    kids = kids.select("node", F.coalesce("parent", F.lit("")).alias("up"), "size", F.col("parent").isNull().alias("is_root"))
+    kids = kids.withColumn("part", F.when(F.col("is_root"), part).otherwise(0))
+    first = F.when(F.col("is_root"), F.col("part") * SPAN).otherwise(1)
     hot = links.groupBy("parent").count().where(F.col("count") > SIBLINGS).agg(F.max("count")).first()[0] or 0
     s = -(-hot // SIBLINGS)
     if s <= 1:
-        w = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-        return kids.withColumn("off", F.lit(1) + F.coalesce(F.sum("size").over(w), F.lit(0)))
-    kids = kids.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(4 * s)))
-    sums = kids.groupBy("parent", "part").agg(F.sum("size").alias("held"))
-    w = Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("parent", "part", F.coalesce(F.sum("held").over(w), F.lit(0)).alias("before"))
-    w = Window.partitionBy("parent", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy("up", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        return kids.withColumn("off", first + F.coalesce(F.sum("size").over(w), F.lit(0))).select("node", "up", "off", "size", "is_root")
+    kids = kids.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(4 * s)))
+    sums = kids.groupBy("up", "part", "slice").agg(F.sum("size").alias("held"))
+    w = Window.partitionBy("up", "part").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("up", "part", "slice", F.coalesce(F.sum("held").over(w), F.lit(0)).alias("before"))
+    w = Window.partitionBy("up", "part", "slice").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     own = kids.withColumn("own", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    return own.join(sums, ["parent", "part"]).select("node", "parent", "size", (F.lit(1) + F.col("before") + F.col("own")).alias("off"))
+    return own.join(sums, ["up", "part", "slice"]).select("node", "up", (first + F.col("before") + F.col("own")).alias("off"), "size", "is_root")
 
 
 def swept(ranges: DataFrame) -> DataFrame:
@@ -205,11 +213,11 @@ def nested_sets(links: DataFrame, n: int | None = None) -> tuple[DataFrame, Data
     if n is None:  # else they are written already
         links, n = cut(links.select("node", "parent"))
     below, far = subtree_sizes(links, n)
-    kids = links.join(far.select("node"), "node", "left_anti") if far is not None else links
-    sized = kids.join(below.hint(BUILD), "node", "left").select("node", "parent", (F.lit(1) + F.coalesce("below", F.lit(0))).alias("size"))
-    tops = below.join(links.select("node"), "node", "left_anti").select("node", F.lit("").alias("parent"), (F.lit(1) + F.col("below")).alias("size"))
-    tree, _ = cut(sized.unionByName(tops))
-    off = sibling_offsets(tree, tree).select("node", F.col("parent").alias("up"), F.when(F.col("parent") == "", F.col("off") - 1).otherwise(F.col("off")).alias("off"), "size", (F.col("parent") == "").alias("is_root"))
+    # A node with descendants but no link is a root.
+    tree = links.hint(BUILD).join(below, "node", "full").select("node", "parent", (F.lit(1) + F.coalesce("below", F.lit(0))).alias("size"))
+    if far is not None:
+        tree = tree.join(far.select("node"), "node", "left_anti")
+    off = sibling_offsets(tree, links, n)
     # Roots have no parent's row to look up; below them the numbers add up along the way down.
     done, _ = climb(off, total="off", weight="size", own=("is_root",))
     ranges, _ = cut(swept(done.select("node", F.col("off").alias("lft"), "size", "is_root")))
