@@ -83,3 +83,41 @@ def choice_letter(c: Column, n: Column) -> Column:
 def choices_text(c: Column) -> Column:
     """One line per choice, lettered from A."""
     return F.array_join(F.transform(c, lambda x, i: F.concat(F.char(i + 65), F.lit(") "), x)), "\n")
+
+
+def preview(c: Column, n: int) -> Column:
+    """The first ``n`` characters, and an ellipsis if there are more."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
+
+
+def json_span(c: Column) -> Column:
+    """The object in a reply: from the first brace to the last, within a code fence if there is one; else an empty object."""
+    fenced = F.regexp_extract(c, r"(?s)```[a-zA-Z]*\s*(.*?)```", 1)
+    span = F.regexp_extract(F.when(fenced != "", fenced).otherwise(c), r"(?s)(\{.*\})", 1)
+    return F.when(span != "", span).otherwise("{}")
+
+
+def names_by_rel(refs: Column) -> Column:
+    """refs(rel, targetId, name): a map from each relation to its names, each once, in order of first appearance."""
+    rels = F.array_distinct(F.transform(refs, lambda r: r["rel"]))
+    of = lambda rel: F.array_distinct(F.transform(F.filter(refs, lambda r: r["rel"] == rel), lambda r: r["name"]))
+    return F.map_from_entries(F.transform(rels, lambda rel: F.struct(rel, of(rel))))
+
+
+def content_hash(parts: Column) -> Column:
+    """A hash of an array of texts in order, kept apart by a null character."""
+    return F.sha2(F.array_join(parts, "\0"), 256)
+
+
+def earliest(c: Column, words: list[tuple[str, str]]) -> Column:
+    """What the word that stands first in the text, whatever the case, means; null if none does. Ties go by order."""
+    low = F.lower(c)
+    at = [F.when(F.instr(low, F.lit(w)) > 0, F.struct(F.instr(low, F.lit(w)).alias("at"), F.lit(i).alias("i"), F.lit(t).alias("t"))) for i, (w, t) in enumerate(words)]
+    return F.array_min(F.array(*at))["t"]
+
+
+def first_matches(c: Column, words: list[tuple[str, str]], n: int) -> Column:
+    """What the first ``n`` words, by their order in the list, that the text contains mean; each meaning once."""
+    low = F.lower(c)
+    got = F.array(*[F.when(F.coalesce(low.contains(w), F.lit(False)), F.lit(t)) for w, t in words])
+    return F.slice(F.array_distinct(F.array_compact(got)), 1, n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text
 from loomgraph.operators import agentic, graph, mutate
 from loomgraph.plans import schema
-from loomgraph.plans.session import table
+from loomgraph.plans.session import cut, table
 from loomgraph.queries import SQL, _trim, query
 from loomgraph.queries import _CHANNEL as CHANNEL
 from loomgraph.queries import _PAGE as PAGE
@@ -23,6 +23,16 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return graph.project_graph(*_tables(spark, d))
 
 
+def _edges(spark: SparkSession, d: str, rels: tuple[str, ...] | None = None) -> DataFrame:
+    """The edges of ``rels``, written; only the tables and columns that state them are read."""
+    return cut(graph.Records.of(*_tables(spark, d)).edges(rels))[0]
+
+
+def _tickets(spark: SparkSession, d: str) -> DataFrame:
+    """(id, label) of the tickets."""
+    return table(spark, d, "tickets").where("key IS NOT NULL").select(F.concat(F.lit("ticket:"), "key").alias("id"), F.lit("Ticket").alias("label")).distinct()
+
+
 def _slug(x: str) -> str:
     return f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 
@@ -115,6 +125,16 @@ SQL["sanitize_labels"] = r"""SELECT ntype, label, CASE WHEN s ~ '^[0-9].*' THEN
 FROM (SELECT DISTINCT ntype, label, regexp_replace(regexp_replace(label, '[^0-9A-Za-z]+', '_', 'g'), '^_|_$', '', 'g') s FROM entities)"""
 
 
+@query
+def degree_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by label and number of edges, 5 standing for more; 0 are the isolated ones."""
+    nodes, edges = _graph(spark, d)
+    return graph.degrees(nodes, edges).groupBy("label", F.least("degree", F.lit(5)).alias("degree")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["degree_classes"] = _G + " SELECT label, least(coalesce(k, 0), 5) AS degree, count(*) n FROM nodes LEFT JOIN (SELECT id, count(*) k FROM (SELECT src id FROM edges UNION ALL SELECT dst FROM edges WHERE src <> dst) GROUP BY 1) USING (id) GROUP BY ALL"
+
+
 @query
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.isolated(*_graph(spark, d))
@@ -135,8 +155,7 @@ _STEP = "s2 AS (SELECT src id, dst AS nxt, rel FROM edges UNION SELECT dst, src,
 
 def _neighbours(direction: str, cap: int | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        nodes, edges = _graph(spark, d)
-        return graph.neighbours(_seeds(nodes), edges, direction, cap=cap)
+        return graph.neighbours(_seeds(_tickets(spark, d)), _edges(spark, d), direction, cap=cap)
 
     return run
 
@@ -160,8 +179,7 @@ def _walk_sql(depth: int, rels: tuple[str, ...] | None = graph.OWNER_RELS) -> st
 
 def _walk(depth: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        nodes, edges = _graph(spark, d)
-        return graph.walk(_seeds(nodes), edges, depth)
+        return graph.walk(_seeds(_tickets(spark, d)), _edges(spark, d, graph.OWNER_RELS), depth)
 
     return run
 
@@ -176,8 +194,8 @@ for _depth in (1, 2, 3):
 @query
 def bfs_typed_recall(spark: SparkSession, d: str) -> DataFrame:
     """The first 5 documents within 2 steps of any relation but those of persons, by hops and id."""
-    nodes, edges = _graph(spark, d)
-    got = graph.walk(_seeds(nodes), edges, 2, (*graph.OWNER_RELS, "ABOUT")).join(nodes.where("label = 'Document'").select("id"), "id", "left_semi")
+    rels = (*graph.OWNER_RELS, "ABOUT")
+    got = graph.walk(_seeds(_tickets(spark, d)), _edges(spark, d, rels), 2, rels).where("id LIKE 'doc:%'")
     return graph.first_by_hops(got, 5)
 
 
@@ -187,8 +205,7 @@ SQL["bfs_typed_recall"] = _walk_sql(2, (*graph.OWNER_RELS, "ABOUT")) + " SELECT
 @query
 def path_exists_seed_gold(spark: SparkSession, d: str) -> DataFrame:
     """From each seed to the tickets that the seed's own pull requests fix and those they block: is there a path of 3?"""
-    nodes, edges = _graph(spark, d)
-    seeds = _seeds(nodes)
+    edges, seeds = _edges(spark, d, ("BLOCKS", "REFERENCES", "FIXES")), _seeds(_tickets(spark, d))
     goals = seeds.select("q").join(edges.where("rel = 'BLOCKS'").select(F.col("dst").alias("q"), F.col("src").alias("goal")), "q")
     return graph.reaches(seeds, goals, edges, 3, ("REFERENCES", "FIXES"))
 
@@ -199,8 +216,8 @@ SQL["path_exists_seed_gold"] = _walk_sql(3, ("REFERENCES", "FIXES")) + " SELECT
 @query
 def anchor_connectivity(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that touch at least two of the tickets a seed's neighbourhood holds."""
-    nodes, edges = _graph(spark, d)
-    near = graph.walk(_seeds(nodes), edges, 1, ("BLOCKS", "REFERENCES")).select("q", "id")
+    edges = _edges(spark, d, ("BLOCKS", "REFERENCES", "FIXES"))
+    near = graph.walk(_seeds(_tickets(spark, d)), edges, 1, ("BLOCKS", "REFERENCES")).select("q", "id")
     return graph.connectivity(near, edges.where("rel IN ('BLOCKS', 'REFERENCES', 'FIXES')")).where("anchors > 1")
 
 
@@ -209,8 +226,7 @@ SQL["anchor_connectivity"] = _walk_sql(1, ("BLOCKS", "REFERENCES")) + " SELECT q
 
 @query
 def hop2_frequency(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    return graph.second_hop(_seeds(nodes), edges, graph.OWNER_RELS)
+    return graph.second_hop(_seeds(_tickets(spark, d)), _edges(spark, d, graph.OWNER_RELS), graph.OWNER_RELS)
 
 
 SQL["hop2_frequency"] = f"""{_G}, {_SEEDS}, st AS (SELECT src id, dst AS nxt FROM edges WHERE rel IN {graph.OWNER_RELS} UNION ALL SELECT dst, src FROM edges WHERE rel IN {graph.OWNER_RELS}),
@@ -221,8 +237,8 @@ SELECT q, nxt AS id, count(*) paths FROM f JOIN st USING (id) WHERE (q, nxt) NOT
 @query
 def keyword_bridge_intersection(spark: SparkSession, d: str) -> DataFrame:
     """What all references of a seed have in common: nodes one step from each page the seed names."""
-    nodes, edges = _graph(spark, d)
-    refs = _seeds(nodes).join(edges.where("rel = 'REFERENCES'").select(F.col("src").alias("id"), F.col("dst").alias("page")), "id").select("q", F.col("page").alias("id"))
+    edges = _edges(spark, d, ("REFERENCES", "ABOUT", "AUTHORED_BY"))
+    refs = _seeds(_tickets(spark, d)).join(edges.where("rel = 'REFERENCES'").select(F.col("src").alias("id"), F.col("dst").alias("page")), "id").select("q", F.col("page").alias("id"))
     step = graph.neighbours(refs, edges, "both", ("REFERENCES", "ABOUT", "AUTHORED_BY")).select("q", F.col("id").alias("part"), F.col("neighbour").alias("id")).distinct()
     return graph.in_all(step)
 
@@ -233,7 +249,7 @@ SELECT q, id FROM parts GROUP BY q, id HAVING count(DISTINCT part) = (SELECT cou
 
 @query
 def shared_trait_intersection(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shared_traits(_graph(spark, d)[1], "BLOCKS", "ABOUT")
+    return graph.shared_traits(_edges(spark, d, ("BLOCKS", "ABOUT")), "BLOCKS", "ABOUT")
 
 
 SQL["shared_trait_intersection"] = _G + " SELECT e.src a, e.dst b, count(DISTINCT x.dst) traits FROM edges e JOIN edges x ON x.src = e.src AND x.rel = 'ABOUT' JOIN edges y ON y.src = e.dst AND y.rel = 'ABOUT' AND y.dst = x.dst WHERE e.rel = 'BLOCKS' GROUP BY ALL"
@@ -241,7 +257,7 @@ SQL["shared_trait_intersection"] = _G + " SELECT e.src a, e.dst b, count(DISTINC
 
 @query
 def hydrate_nested(spark: SparkSession, d: str) -> DataFrame:
-    return graph.hydrate(*_graph(spark, d), "Ticket", ("BLOCKS", "REFERENCES", "ABOUT"))
+    return graph.hydrate(_tickets(spark, d), _edges(spark, d, ("BLOCKS", "REFERENCES", "ABOUT")), "Ticket", ("BLOCKS", "REFERENCES", "ABOUT"))
 
 
 SQL["hydrate_nested"] = _G + """ SELECT n.id, r.rel, count(e.dst) n, coalesce(string_agg(e.dst, ',' ORDER BY e.dst), '') targets FROM nodes n, (VALUES ('BLOCKS'), ('REFERENCES'), ('ABOUT')) r(rel) LEFT JOIN edges e ON e.src = n.id AND e.rel = r.rel WHERE n.label = 'Ticket' GROUP BY ALL"""
@@ -286,9 +302,9 @@ SELECT label AS kind, count(*) n FROM nodes WHERE id NOT IN (SELECT id FROM gone
 @query
 def participants_replace(spark: SparkSession, d: str) -> DataFrame:
     """Every pull request's reviewers replaced by its author alone, where it has one."""
-    nodes, edges = _graph(spark, d)
+    edges = _edges(spark, d, ("AUTHORED_BY", "REVIEWED_BY"))
     new = edges.where("rel = 'AUTHORED_BY' AND src LIKE 'pr:%'").select("src", "dst")
-    return mutate.replace_targets(edges, "REVIEWED_BY", new, nodes).where("rel = 'REVIEWED_BY'")
+    return mutate.replace_targets(edges, "REVIEWED_BY", new, edges.select(F.col("dst").alias("id")).distinct()).where("rel = 'REVIEWED_BY'")
 
 
 SQL["participants_replace"] = _G + """, au AS (SELECT src, dst FROM edges WHERE rel = 'AUTHORED_BY' AND src LIKE 'pr:%') SELECT * FROM edges WHERE rel = 'REVIEWED_BY' AND src NOT IN (SELECT src FROM au) UNION ALL SELECT src, 'REVIEWED_BY', dst FROM au"""
@@ -356,8 +372,7 @@ SQL["wikilink_references"] = rf"SELECT DISTINCT doc_id, k target, k IN (SELECT s
 @query
 def agentic_loop_stub(spark: SparkSession, d: str) -> DataFrame:
     """From each seed ticket, step by step to the first 5 unseen neighbours, until a page has been visited."""
-    nodes, edges = _graph(spark, d)
-    return agentic.explore(_seeds(nodes), edges, lambda seen: seen.where("id LIKE 'doc:%'").select("q").distinct())
+    return agentic.explore(_seeds(_tickets(spark, d)), _edges(spark, d), lambda seen: seen.where("id LIKE 'doc:%'").select("q").distinct())
 
 
 def _steps_sql(n: int) -> str:

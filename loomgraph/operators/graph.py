@@ -62,12 +62,15 @@ class Records:
         d = documents.where("stem IS NOT NULL").groupBy("stem").agg(F.max_by(F.struct("title", "author", "components", "text"), F.struct("ingested_at", "doc_id")).alias("v")).select("stem", "v.*")
         return cls(t.withColumn("id", F.concat(F.lit("ticket:"), "k")), p.withColumn("id", F.concat(F.lit("pr:"), slug(F.col("r")), F.lit("#"), F.col("n").cast("string"))), c.withColumn("id", F.concat(F.lit("msg:"), "ch", F.lit(":"), F.col("sq").cast("string"))), d.withColumn("id", F.concat(F.lit("doc:"), "stem")))
 
-    def links(self) -> DataFrame:
-        """(src, rel, dst) as the records state them: repeats within a record collapse, targets may not exist."""
+    def links(self, rels: tuple[str, ...] | None = None) -> DataFrame:
+        """(src, rel, dst) as the records state them, of ``rels`` or all: repeats within a record collapse, targets may not exist.
 
-        def out(df: DataFrame, rels: dict[str, Column]) -> DataFrame:
-            pairs = [F.transform(c, _tagger(rel)) for rel, c in rels.items()]
-            return df.select(F.col("id").alias("src"), F.explode(F.concat(*pairs)).alias("e")).select("src", "e.rel", "e.dst")
+        Only the tables and columns that state one of ``rels`` are read.
+        """
+
+        def out(df: DataFrame, of: dict[str, Column]) -> list[DataFrame]:
+            pairs = [F.transform(c, _tagger(rel)) for rel, c in of.items() if rels is None or rel in rels]
+            return [df.select(F.col("id").alias("src"), F.explode(F.concat(*pairs)).alias("e")).select("src", "e.rel", "e.dst")] if pairs else []
 
         refs = _ids("doc:", named(F.col("references"), page_key))
         about = _ids("component:", _slugs(F.col("components")))
@@ -76,7 +79,17 @@ class Records:
         to = F.when(F.col("reply_to") != 0, F.concat(F.lit("msg:"), "ch", F.lit(":"), F.col("reply_to").cast("string")))
         c = out(self.chat, {"SENT_BY": _one(_person(F.col("author"))), "REPLY_TO": _one(to), "REFERENCES": refs})
         d = out(self.docs, {"AUTHORED_BY": _one(_person(F.col("author"))), "ABOUT": about})
-        return reduce(DataFrame.unionByName, [t, p, c, d])
+        return reduce(DataFrame.unionByName, [*t, *p, *c, *d])
+
+    def edges(self, rels: tuple[str, ...] | None = None) -> DataFrame:
+        """The distinct links of ``rels`` whose target exists; people and components exist by being named."""
+        links = self.links(rels).distinct()
+        have = {"REFERENCES": self.docs, "BLOCKS": self.tickets, "FIXES": self.tickets, "REPLY_TO": self.chat}
+        ends = {id(df): df for rel, df in have.items() if rels is None or rel in rels}
+        if not ends:
+            return links
+        ids = reduce(DataFrame.unionByName, [df.select(F.col("id").alias("dst")) for df in ends.values()]).distinct().withColumn("to", F.lit(True))
+        return links.join(ids, "dst", "left").where("to OR dst LIKE 'person:%' OR dst LIKE 'component:%'").select("src", "rel", "dst")
 
     def nodes(self, links: DataFrame) -> DataFrame:
         """(id, label): a node per record, and one per person and component that some record names."""
@@ -113,7 +126,7 @@ def project_graph(tickets: DataFrame, prs: DataFrame, chat: DataFrame, documents
     rec = Records.of(tickets, prs, chat, documents)
     links, _ = cut(rec.links())
     nodes, _ = cut(rec.nodes(links))
-    edges, _ = cut(connect(links, nodes)[0])
+    edges, _ = cut(rec.edges())
     return nodes, edges
 
 
@@ -209,6 +222,32 @@ def hydrate(nodes: DataFrame, edges: DataFrame, label: str, rels: tuple[str, ...
     return roots.join(got, ["id", "rel"], "left").select("id", "rel", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("targets", F.lit("")).alias("targets"))
 
 
+def nest(roots: DataFrame, edges: DataFrame, rels: tuple[str, ...]) -> DataFrame:
+    """roots(id): (id, kids), along a path of relations: an array of struct(id, kids) per level, of ids on the last.
+
+    Nodes already on the way from the root are left out, so cycles end. Arrays are sorted by id and empty where nothing
+    follows. An array holds a node's own targets; work and size follow the nested result.
+    """
+    rows = roots.select(F.col("id").alias("n0"))
+    for i, rel in enumerate(rels, 1):
+        step = edges.where(F.col("rel") == rel).select(F.col("src").alias(f"n{i - 1}"), F.col("dst").alias(f"n{i}"))
+        on_way = reduce(Column.__or__, [F.col(f"n{i}") == F.col(f"n{j}") for j in range(i)])
+        # A target on the way is taken for none; the row stays for its root.
+        rows = rows.join(step, f"n{i - 1}", "left").withColumn(f"n{i}", F.when(~F.coalesce(on_way, F.lit(False)), F.col(f"n{i}")))
+    last = len(rels)
+    rows = rows.groupBy(*[f"n{i}" for i in range(last)]).agg(F.sort_array(F.collect_set(f"n{last}")).alias("kids"))
+    for i in range(last - 1, 0, -1):
+        item = F.when(F.col(f"n{i}").isNotNull(), F.struct(F.col(f"n{i}").alias("id"), "kids"))
+        rows = rows.groupBy(*[f"n{j}" for j in range(i)]).agg(F.sort_array(F.collect_list(item)).alias("kids"))
+    return rows.select(F.col("n0").alias("id"), "kids")
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes(id, label): (id, label, degree), the number of edges at each node; a self-loop counts once."""
+    per = both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.join(per, "id", "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without any edge."""
     touched = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
@@ -218,10 +257,19 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def gazetteer_hits(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """texts(id, text), vocabulary(term, target): distinct (id, target) whose term stands in the text as words.
 
-    Both are cut into the same terms and joined on a term's first word, so work follows the matches, not the product;
-    a term of several words is then looked for as a phrase bounded by other characters than a-z, 0-9 and dash.
+    A term is bounded by other characters than a-z, 0-9 and dash. Texts and terms are cut there into words, and a text's
+    runs of as many words as some term has are joined with the terms, so that neither texts nor products are moved.
     """
-    v = vocabulary.select(F.lower("term").alias("term"), "target").where("term <> ''").withColumn("word", F.element_at(F.split("term", "[^a-z0-9]+"), 1))
-    words = texts.select("id", F.lower("text").alias("text")).withColumn("word", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))))
-    hit = F.concat(F.lit(" "), F.regexp_replace("text", "[^a-z0-9-]", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("term", "[^a-z0-9-]", " "), F.lit(" ")))
-    return words.join(v, "word").where(hit).select("id", "target").distinct()
+    cut_ = lambda c: F.split(F.regexp_replace(F.lower(c), "[^a-z0-9-]", " "), " ")
+    v = vocabulary.where("term <> ''").select(F.array_join(cut_(F.col("term")), " ").alias("gram"), "target").distinct()
+    sizes = sorted(r[0] for r in v.select(F.size(F.split("gram", " "))).distinct().limit(64).collect())
+    if not sizes:
+        return texts.select("id", F.lit(None).cast("string").alias("target")).limit(0)
+    words = texts.where("text IS NOT NULL").select("id", cut_(F.col("text")).alias("ts"))
+
+    def grams(n: int) -> Column:
+        runs = F.col("ts") if n == 1 else F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.array_join(F.slice("ts", i, n), " "))
+        return F.when(F.size("ts") >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    runs = words.select("id", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("gram"))
+    return runs.join(v, "gram").select("id", "target").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.functions.text import terms
 
@@ -35,13 +36,13 @@ def miss_kind(r20: Column, r100: Column) -> Column:
 
 
 def attribution(gold: DataFrame, retrieved: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
-    """gold(q, id): NOT_INGESTED (no node), RANKING (retrieved), UNREACHABLE (no path from the seeds) or WALK (path, not retrieved).
+    """gold(q, id): NOT_INGESTED (no node), RANKING (retrieved), ORPHANED (no path from the seeds) or UNREACHABLE (a path, not retrieved).
 
     ``retrieved`` and ``reached`` are (q, id); ``nodes`` has id.
     """
     flag = lambda df, name, keys: df.select(*keys).distinct().withColumn(name, F.lit(True))
     j = gold.select("q", "id").distinct().join(flag(nodes, "node", ["id"]), "id", "left").join(flag(retrieved, "got", ["q", "id"]), ["q", "id"], "left").join(flag(reached, "near", ["q", "id"]), ["q", "id"], "left")
-    return j.select("q", "id", F.when(F.col("node").isNull(), "NOT_INGESTED").when(F.col("got"), "RANKING").when(F.col("near"), "WALK").otherwise("UNREACHABLE").alias("bucket"))
+    return j.select("q", "id", F.when(F.col("node").isNull(), "NOT_INGESTED").when(F.col("got"), "RANKING").when(F.col("near"), "UNREACHABLE").otherwise("ORPHANED").alias("bucket"))
 
 
 def overlap_answers(items: DataFrame) -> DataFrame:
@@ -67,3 +68,30 @@ def all_in_context(rows: DataFrame) -> DataFrame:
     """rows(q, context, needles): whether every needle stands in the context, whatever the case; no needles never hit."""
     hit = F.forall("needles", lambda n: F.lower("context").contains(F.lower(n))) & (F.size("needles") > 0)
     return rows.select("q", F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
+def worst_first(per: DataFrame, n: int, wins: int = 3) -> DataFrame:
+    """per(q, recall_20, hit_1, mrr): (kind, place, q), ``n`` failures to look at, half and half, and some successes.
+
+    Missed (recall below 1) by recall and reciprocal rank, n less half; misranked (found, but not first) by reciprocal rank, half of n;
+    ``wins`` of the rest by q. Ties go by q.
+    """
+    kind = F.when(F.col("recall_20") < 1, "missed").when(F.col("hit_1") < 1, "misranked").otherwise("won")
+    first = F.when(F.col("kind") == "missed", F.col("recall_20")).otherwise(F.lit(0.0))
+    then = F.when(F.col("kind") == "won", F.lit(0.0)).otherwise(F.col("mrr"))
+    most = F.when(F.col("kind") == "missed", n - n // 2).when(F.col("kind") == "misranked", n // 2).otherwise(wins)
+    w = Window.partitionBy("kind").orderBy("a", "b", "q")
+    rows = per.withColumn("kind", kind).withColumns({"a": first, "b": then}).withColumn("place", F.row_number().over(w))
+    return rows.where("place <= " + str(max(n, wins))).where(F.col("place") <= most).select("kind", "place", "q")
+
+
+def checked_predictions(rows: DataFrame) -> DataFrame:
+    """rows(q, id, score), as text: (q, id, score, error); an id must be a whole number, a score a finite number."""
+    i, x = F.col("id").try_cast("bigint"), F.col("score").try_cast("double")
+    bad = F.when(i.isNull(), "id").when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "score")
+    return rows.select("q", i.alias("id"), x.alias("score"), bad.alias("error"))
+
+
+def reattached(asked: DataFrame, results: DataFrame) -> DataFrame:
+    """asked(q, text), results(text, ...), one row per text: every question with its text's result; ``error`` where there is none."""
+    return asked.join(results.withColumn("_got", F.lit(True)), "text", "left").withColumn("error", F.col("_got").isNull()).drop("_got")

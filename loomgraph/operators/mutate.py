@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.plans.session import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` lay their non-null values over the row of ``old`` with the same key; other rows stay or come."""
@@ -21,16 +23,30 @@ def merge_properties(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("id", F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b).alias("props"))
 
 
-def cascade_delete(nodes: DataFrame, edges: DataFrame, roots: DataFrame, owns: tuple[str, ...], shared: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Delete ``roots`` (id), what they own, and what was only theirs among the nodes they name by ``shared`` relations.
+def owned(edges: DataFrame, roots: DataFrame, owns: tuple[str, ...]) -> DataFrame:
+    """roots(id) and all that they own, however deep: the closure over ``owns``, a round a level; circles end it."""
+    step = edges.where(F.col("rel").isin(*owns)).select(F.col("src").alias("id"), F.col("dst").alias("to"))
+    seen, n = cut(roots.select("id").distinct())
+    front = seen
+    while n and owns:
+        front, n = cut(front.join(step, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
+        seen = seen.union(front)
+    return seen
+
+
+def cascade_delete(nodes: DataFrame, edges: DataFrame, roots: DataFrame, owns: tuple[str, ...], shared: tuple[str, ...], labels: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Delete ``roots`` (id), all they own, and what was only theirs among the nodes they name by ``shared`` relations.
 
-    Owned nodes go with their owner. A node that a deleted node named through ``shared`` goes if no edge is left to it;
-    any other node stays, orphaned or not. Gives the new (nodes, edges).
+    A node that a deleted node named through ``shared`` goes if no edge is left to it, if of one of ``labels``;
+    any other node stays, orphaned or not. A root that is no node raises an error. Gives the new (nodes, edges).
     """
-    owned = edges.where(F.col("rel").isin(*owns)).join(roots.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
-    gone = roots.select("id").union(owned).distinct()
+    if roots.select("id").join(nodes, "id", "left_anti").limit(1).count():
+        raise ValueError("a root to be deleted does not exist")
+    gone = owned(edges, roots, owns)
     left = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "rel", "dst")
     named = edges.where(F.col("rel").isin(*shared)).join(gone.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    if labels:
+        named = named.join(nodes.where(F.col("label").isin(*labels)).select("id"), "id", "left_semi")
     touched = left.select(F.col("src").alias("id")).union(left.select(F.col("dst").alias("id"))).distinct()
     orphaned = named.join(touched, "id", "left_anti")
     return nodes.join(gone.union(orphaned).distinct(), "id", "left_anti"), left
@@ -48,3 +64,9 @@ def replace_targets(edges: DataFrame, rel: str, new: DataFrame, nodes: DataFrame
 def strip_source(edges: DataFrame, source: str) -> DataFrame:
     """edges(src, rel, dst, sources): ``source`` taken off; edges left without any go."""
     return edges.withColumn("sources", F.array_remove("sources", source)).where(F.size("sources") > 0)
+
+
+def strip_sources(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges(src, rel, dst, sources), gone(id): the sources that are gone taken off; edges left without any go."""
+    each = edges.select("src", "rel", "dst", F.explode("sources").alias("id")).join(gone.select("id").distinct(), "id", "left_anti")
+    return each.groupBy("src", "rel", "dst").agg(F.sort_array(F.collect_set("id")).alias("sources"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from loomgraph.operators.records import ordinals
+from loomgraph.plans.session import cut
 
 
 def _undominated(x: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -143,3 +144,25 @@ def sample(ids: DataFrame, key: str, n: int, seed: int, epoch: int = 0) -> DataF
     """
     h = F.pmod(F.pmod(F.col(key) * 7919 + (seed * 100_003 + epoch) % 1_000_003, F.lit(1_000_003)) * 7877, F.lit(999_983))
     return ids.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+
+
+def recent(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The last ``n`` keys by ``order``, each with its last row: a log without repeats."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_r")).select(key, "_r.*")
+    return last.orderBy(F.desc(order), key).limit(n)
+
+
+def distractors(items: DataFrame, k: int, last: str = "CANNOT_DETERMINE") -> DataFrame:
+    """items(item_id, answer): (item_id, options, answer_idx), the answer among ``k`` answers of other items, shuffled, and ``last``.
+
+    The distinct answers stand in a ring by hash; an item takes those that follow its own, fewer if there are fewer. Its
+    options are ordered by a hash with its id. Answers are numbered in one window: they are distinct short texts of an
+    evaluation suite.
+    """
+    answers, n = cut(items.where("answer IS NOT NULL").select("answer").distinct())
+    ring = answers.withColumn("p", F.row_number().over(Window.orderBy(F.md5("answer"), "answer")) - 1)
+    own = items.join(ring, "answer").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(min(k, max(0, n - 1))))))
+    asked = own.select("item_id", "answer", ((F.col("p") + F.col("o")) % max(1, n)).alias("p")).join(ring.select(F.col("answer").alias("opt"), "p"), "p")
+    per = asked.groupBy("item_id", "answer").agg(F.sort_array(F.collect_list(F.struct(F.md5(F.concat("item_id", "opt")).alias("h"), "opt"))).alias("s"))
+    opts = F.transform("s", lambda x: x["opt"])
+    return per.select("item_id", F.concat(opts, F.array(F.lit(last))).alias("options"), (F.array_position(opts, F.col("answer")) - 1).alias("answer_idx"))

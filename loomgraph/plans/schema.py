@@ -60,6 +60,37 @@ def missing_properties(schema: Schema, label: str, rows: DataFrame) -> DataFrame
     return rows.select("id", F.explode(F.array(*[F.when(F.coalesce(F.trim(p), F.lit("")) == "", F.lit(p)) for p in props])).alias("property")).where("property IS NOT NULL")
 
 
+#: How a text that holds a value of a type looks.
+PATTERNS = {
+    "integer": r"^-?[0-9]+$",
+    "number": r"^-?[0-9]+(\.[0-9]+)?$",
+    "boolean": "^(true|false)$",
+    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$",
+    "string": r"[^\s]",
+}
+#: Types of the raw records' properties by label.
+TYPES = {
+    "Message": {"seq": "integer", "ts": "timestamp", "channel": "string"},
+    "PullRequest": {"number": "integer", "state": "string", "title": "string"},
+    "Ticket": {"key": "string", "status": "string"},
+    "Document": {"title": "string"},
+}
+
+
+def wrong_types(rows: DataFrame, types: dict[str, dict[str, str]] = TYPES) -> DataFrame:
+    """rows(id, label, props MAP): (id, property, expected, actual) of properties that are there but not of their type."""
+    rules = F.create_map(*[x for label, of in types.items() for p, t in of.items() for x in (F.lit(f"{label}/{p}"), F.lit(t))])
+    looks = F.create_map(*[x for kv in PATTERNS.items() for x in map(F.lit, kv)])
+    each = rows.select("id", "label", F.explode("props").alias("property", "actual")).withColumn("expected", rules[F.concat("label", F.lit("/"), "property")])
+    return each.where(F.col("expected").isNotNull() & F.col("actual").isNotNull() & ~F.coalesce(F.regexp_like("actual", looks[F.col("expected")]), F.lit(False))).select("id", "property", "expected", "actual")
+
+
+def edge_violations(edges: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """edges(src, rel, dst, properties...): (src, rel, dst, property) of required properties that are null or blank."""
+    lacking = F.array(*[F.when(F.coalesce(F.trim(F.col(p).cast("string")), F.lit("")) == "", F.lit(p)) for p in required])
+    return edges.select("src", "rel", "dst", F.explode(lacking).alias("property")).where("property IS NOT NULL")
+
+
 def wrong_ends(schema: Schema, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose labels and relation the schema does not have."""
     ok = nodes.sparkSession.createDataFrame(schema.triplets(), "source string, rel string, target string")

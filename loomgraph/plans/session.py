@@ -50,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def _new_path(spark: SparkSession) -> str:
+def new_path(spark: SparkSession) -> str:
+    """A folder of its own within the shared one, which ``clear`` removes."""
     _written.append(f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}")
     return _written[-1]
 
@@ -70,14 +71,14 @@ def cut(df: DataFrame) -> tuple[DataFrame, int]:
     Used where a result is read more than once or where an iteration would let its plan grow. The files outlive the
     loss of any executor.
     """
-    path, seen = _new_path(df.sparkSession), Observation()
+    path, seen = new_path(df.sparkSession), Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
 
 
 def cut_by(df: DataFrame, by: str, values: tuple[str, ...]) -> dict[str, tuple[str, int]]:
     """Write ``df`` with its rows kept apart by ``by``: the folder and row count of each of ``values`` that occurs."""
-    path, seen = _new_path(df.sparkSession), Observation()
+    path, seen = new_path(df.sparkSession), Observation()
     df.observe(seen, *[F.count_if(F.col(by) == v).alias(f"n{i}") for i, v in enumerate(values)]).write.partitionBy(by).parquet(path)
     got = {v: int(seen.get[f"n{i}"] or 0) for i, v in enumerate(values)}
     return {v: (f"{path}/{by}={v}", n) for v, n in got.items() if n}

@@ -179,18 +179,21 @@ def evidence_union_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["evidence_union_scores"] = f"""WITH {_VEC}, {_ELAB}, ty AS (SELECT id, max_by(ntype, ingested_at) t FROM entities GROUP BY id),
-ev AS (SELECT q, id, score * 0.3 w, 0 b FROM de UNION ALL SELECT q, id, score / 10 * 0.35, 1 FROM sp UNION ALL SELECT q, x.id, 0.6, 2 FROM (SELECT q, id FROM de UNION SELECT q, id FROM sp) x JOIN ty a ON a.id = x.id JOIN ty c ON c.id = x.q AND a.t = c.t)
+de5 AS (SELECT * FROM de WHERE rnk <= 50), sp5 AS (SELECT * FROM sp WHERE rnk <= 50),
+ev AS (SELECT q, id, score * 0.3 w, 0 b FROM de5 UNION ALL SELECT q, id, score / 10 * 0.35, 1 FROM sp5 UNION ALL SELECT q, x.id, 0.6, 2 FROM (SELECT q, id FROM de5 UNION SELECT q, id FROM sp5) x JOIN ty a ON a.id = x.id JOIN ty c ON c.id = x.q AND a.t = c.t)
 SELECT * FROM (SELECT q, id, score, branches, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS "rank" FROM (SELECT q, id, sum(round(w * 1e8)::BIGINT)::BIGINT / 1e8 score, count(DISTINCT b) branches FROM ev GROUP BY ALL)) WHERE "rank" <= 20"""
 
 
-def _owners(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges, chunks, and for each asked title its 3 best pages with their rank."""
-    nodes, edges = _graph(spark, d)
-    chunks, _ = cut(graph.Records.of(*_tables(spark, d)).cards().where("owner_id LIKE 'doc:%'"))
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of pages (owner_id, idx, content), written."""
+    return cut(graph.Records.of(*_tables(spark, d)).cards().where("owner_id LIKE 'doc:%'"))[0]
+
+
+def _owners(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """For each asked title its pages of the 3 best chunks, with their rank."""
     got = search.bm25(chunks.select(F.concat_ws("#c", "owner_id", "idx").alias("id"), F.col("content").alias("text")), _asked(spark, d)[0])
     best = search.ranked(got, 3).select("q", F.substring_index("id", "#c", 1).alias("id"), "rank")
-    owners = best.groupBy("q", "id").agg(F.min("rank").alias("rank"))
-    return nodes, edges, chunks, owners
+    return best.groupBy("q", "id").agg(F.min("rank").alias("rank"))
 
 
 _OWN = f"""{_CARDS}, dc AS (SELECT owner_id || '#c' || idx id, owner_id, idx, content FROM chunks WHERE owner_id LIKE 'doc:%'),
@@ -203,7 +206,7 @@ own AS (SELECT q, owner_id id, min(rnk) rnk FROM (SELECT q, id, row_number() OVE
 
 @query
 def owner_of_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _owners(spark, d)[3]
+    return _owners(spark, d, _chunks(spark, d))
 
 
 SQL["owner_of_chunks"] = f'{_G}, {_OWN} SELECT q, id, rnk AS "rank" FROM own'
@@ -212,8 +215,8 @@ SQL["owner_of_chunks"] = f'{_G}, {_OWN} SELECT q, id, rnk AS "rank" FROM own'
 @query
 def context_assembly_budget(spark: SparkSession, d: str) -> DataFrame:
     """Contexts of 2,000 characters from the 3 best pages; questions without any page stay, with an empty context."""
-    _, _, chunks, owners = _owners(spark, d)
-    ctx = search.contexts(search.context_rows(owners, chunks, 2000))
+    chunks = _chunks(spark, d)
+    ctx = search.contexts(search.context_rows(_owners(spark, d, chunks), chunks, 2000))
     return _asked(spark, d)[0].select("q").join(ctx, "q", "left").select("q", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("citations", F.lit("")).alias("citations"))
 
 
@@ -247,7 +250,8 @@ SQL["retrieval_hit_all_gold"] = _CTX + f" SELECT doc_id q, len({_t('title')}) >
 @query
 def miss_attribution(spark: SparkSession, d: str) -> DataFrame:
     """For the pages that share an asked title: in the 3 best, within 2 steps of them, elsewhere, or no node at all."""
-    nodes, edges, _, owners = _owners(spark, d)
+    nodes, edges = _graph(spark, d)
+    owners, _ = cut(_owners(spark, d, _chunks(spark, d)))
     docs = table(spark, d, "documents")
     q, gold = _asked(spark, d)
     named = gold.join(docs.select(F.col("doc_id").alias("id"), "stem"), "id").select("q", F.concat(F.lit("doc:"), F.coalesce("stem", F.concat(F.lit("none-"), "id"))).alias("id"))
@@ -259,7 +263,7 @@ def miss_attribution(spark: SparkSession, d: str) -> DataFrame:
 SQL["miss_attribution"] = f"""{_G}, {_OWN}, st2 AS (SELECT src id, dst AS nxt FROM edges WHERE rel IN ('REFERENCES', 'ABOUT') UNION SELECT dst, src FROM edges WHERE rel IN ('REFERENCES', 'ABOUT')),
 n1 AS (SELECT q, id FROM own UNION SELECT q, nxt FROM own JOIN st2 USING (id)), near AS (SELECT q, id FROM n1 UNION SELECT q, nxt FROM n1 JOIN st2 USING (id)),
 g AS (SELECT DISTINCT a.doc_id q, 'doc:' || coalesce(b.stem, 'none-' || b.doc_id) id FROM documents a JOIN documents b ON a.title = b.title WHERE a.doc_id % 50 = 0)
-SELECT CASE WHEN id NOT IN (SELECT id FROM nodes) THEN 'NOT_INGESTED' WHEN (q, id) IN (SELECT (q, id) FROM own) THEN 'RANKING' WHEN (q, id) IN (SELECT (q, id) FROM near) THEN 'WALK' ELSE 'UNREACHABLE' END bucket, count(*) n FROM g GROUP BY 1"""
+SELECT CASE WHEN id NOT IN (SELECT id FROM nodes) THEN 'NOT_INGESTED' WHEN (q, id) IN (SELECT (q, id) FROM own) THEN 'RANKING' WHEN (q, id) IN (SELECT (q, id) FROM near) THEN 'UNREACHABLE' ELSE 'ORPHANED' END bucket, count(*) n FROM g GROUP BY 1"""
 
 
 def _mcq(spark: SparkSession, d: str) -> DataFrame:

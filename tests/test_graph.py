@@ -125,7 +125,7 @@ def test_attribution(spark):
     gold = frame(spark, [("q", "absent"), ("q", "got"), ("q", "far"), ("q", "near")], "q string, id string")
     nodes = frame(spark, [("got",), ("far",), ("near",)], "id string")
     f = lambda x: frame(spark, [("q", x)], "q string, id string")
-    assert rows(metrics.attribution(gold, f("got"), nodes, f("near"))) == {("q", "absent", "NOT_INGESTED"), ("q", "got", "RANKING"), ("q", "far", "UNREACHABLE"), ("q", "near", "WALK")}
+    assert rows(metrics.attribution(gold, f("got"), nodes, f("near"))) == {("q", "absent", "NOT_INGESTED"), ("q", "got", "RANKING"), ("q", "far", "ORPHANED"), ("q", "near", "UNREACHABLE")}
 
 
 def test_skyline_streaks_pairs(spark):
