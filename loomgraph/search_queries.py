@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.graph_queries import _CARDS, _G, _graph, _tables
+from loomgraph.graph_queries import _CARDS, _G, _edges, _graph, _tables
 from loomgraph.operators import graph, metrics, search, select
 from loomgraph.operators.records import latest
 from loomgraph.plans.session import cut, table
@@ -266,6 +266,96 @@ g AS (SELECT DISTINCT a.doc_id q, 'doc:' || coalesce(b.stem, 'none-' || b.doc_id
 SELECT CASE WHEN id NOT IN (SELECT id FROM nodes) THEN 'NOT_INGESTED' WHEN (q, id) IN (SELECT (q, id) FROM own) THEN 'RANKING' WHEN (q, id) IN (SELECT (q, id) FROM near) THEN 'UNREACHABLE' ELSE 'ORPHANED' END bucket, count(*) n FROM g GROUP BY 1"""
 
 
+def _eval_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("q"), F.col("question").alias("text"))
+
+
+@query
+def answer_search(spark: SparkSession, d: str) -> DataFrame:
+    """From each eval question to its context of up to 20,000 characters: chunks of all records, a step from their owners."""
+    chunks, _ = cut(graph.Records.of(*_tables(spark, d)).cards())
+    got = search.answer(_eval_questions(spark, d), chunks, _edges(spark, d, graph.OWNER_RELS))
+    return got.select("q", "nodes", F.length("context").alias("chars"), F.md5("context").alias("context_md5"), "citations")
+
+
+_KW = f"""kw AS (SELECT item_id q, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) ks FROM (SELECT item_id, list_concat(regexp_extract_all(question, '\\b[A-Za-z]{{2,}}-\\d+\\b'), list_filter({_t("question")}, lambda x: length(x) >= 3 AND NOT list_contains({text.STOPWORDS!r}, x))) l FROM eval_items))"""
+
+
+def _ranked_sql(name: str, ask: str, post: str = "post") -> str:
+    """(a, id, score) of the asks (a, term) by BM25."""
+    return f"{name} AS (SELECT a, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 4) score FROM {post} JOIN df USING (term) JOIN {ask} USING (term), st GROUP BY a, id)"
+
+
+SQL["answer_search"] = f"""{_G}, {_CARDS}, {_KW}, ask AS (SELECT DISTINCT q a, unnest({_t("array_to_string(ks, ' ')")}) term FROM kw),
+tok AS (SELECT owner_id || '#c' || idx id, {_t("content")} ts FROM chunks), st AS (SELECT count(*) FILTER (len(ts) > 0) n, sum(len(ts)) / count(*) FILTER (len(ts) > 0) av FROM tok),
+post AS (SELECT id, term, count(*) tf, dl FROM (SELECT id, len(ts) dl, unnest(ts) term FROM tok) WHERE term IN (SELECT term FROM ask) GROUP BY id, term, dl), df AS (SELECT term, count(*) df FROM post GROUP BY 1), {_ranked_sql("bm", "ask")},
+own AS (SELECT a q, regexp_replace(id, '#c[0-9]+$', '') id, min(rnk) rnk FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) rnk FROM bm) WHERE rnk <= 5 GROUP BY ALL),
+st2 AS (SELECT src id, dst AS nxt FROM edges WHERE rel IN {graph.OWNER_RELS} UNION SELECT dst, src FROM edges WHERE rel IN {graph.OWNER_RELS}),
+near AS (SELECT q, id, min(h) hops FROM (SELECT q, id, 0 h FROM own UNION SELECT q, nxt, 1 FROM own JOIN st2 USING (id)) GROUP BY ALL),
+pl AS (SELECT * FROM (SELECT near.q, near.id, row_number() OVER (PARTITION BY near.q ORDER BY hops, rnk NULLS LAST, near.id) place FROM near LEFT JOIN own ON own.q = near.q AND own.id = near.id) WHERE place <= 5),
+cx AS (SELECT q, id, place, idx, content, coalesce(sum(length(content) + 1) OVER (PARTITION BY q ORDER BY place, id, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT pos FROM pl JOIN chunks ON owner_id = id),
+kept AS (SELECT q, id, place, idx, substring(content, 1, 20000 - pos) content FROM cx WHERE pos < 20000), ct AS (SELECT q, string_agg(content, chr(10) ORDER BY place, id, idx) context FROM kept GROUP BY q),
+ci AS (SELECT q, string_agg('[' || id || ']', ' ' ORDER BY place) citations FROM (SELECT DISTINCT q, id, place FROM kept) GROUP BY q)
+SELECT item_id q, coalesce((SELECT count(*) FROM pl WHERE pl.q = item_id), 0) nodes, length(coalesce(context, '')) chars, md5(coalesce(context, '')) context_md5, coalesce(citations, '') citations FROM eval_items LEFT JOIN ct ON ct.q = item_id LEFT JOIN ci ON ci.q = item_id"""
+
+
+@query
+def service_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 best pages and tickets for each eval question by all branches of evidence.
+
+    Stand-ins for what a model would extract: pages answer, tickets are the anchors, along BLOCKS and REFERENCES, with
+    the first three keywords; a weak question is rewritten as its keywords and the text of its best card.
+    """
+    rec = graph.Records.of(*_tables(spark, d))
+    label = F.when(F.col("owner_id").startswith("ticket:"), "Ticket").otherwise("Document")
+    cards, _ = cut(rec.cards().where("idx = 0 AND (owner_id LIKE 'ticket:%' OR owner_id LIKE 'doc:%')").select(F.col("owner_id").alias("id"), label.alias("label"), F.col("content").alias("text")))
+    q, _ = cut(_eval_questions(spark, d).select("q", "text", F.lit("Document").alias("answer"), F.lit("Ticket").alias("anchor")))
+    rels = q.select("q", F.explode(F.array(F.lit("BLOCKS"), F.lit("REFERENCES"))).alias("rel"))
+    words = q.select("q", F.slice(text.keywords(F.col("text")), 1, 3).alias("k")).where("size(k) > 1").select("q", F.posexplode("k").alias("part", "text"))
+
+    def rewrite(weak, hits):
+        best = hits.where("rank = 1").join(cards.select("id", F.col("text").alias("card")), "id").select("q", "card")
+        return weak.join(best, "q").select("q", F.concat_ws(" ", F.array_join(text.keywords(F.col("text")), " "), "card").alias("text"))
+
+    got = search.service(q, rels, words, cards, _edges(spark, d, ("BLOCKS", "REFERENCES")), search.text_find(cards), search.overlap_score(cards, q), rewrite)
+    return search.ranked(got, 20)
+
+
+def _find_sql(name: str, ask: str, label: str | None, k: int) -> str:
+    only = f" WHERE id LIKE '{label}:%'" if label else ""
+    return f"{_ranked_sql(name + '0', ask)}, {name} AS (SELECT * FROM (SELECT a, id, round(score / (score + 10), 6) sim, row_number() OVER (PARTITION BY a ORDER BY round(score / (score + 10), 6) DESC, id) rnk FROM {name}0{only}) WHERE rnk <= {k})"
+
+
+def _along_sql(name: str, start: str) -> str:
+    return f"{name} AS (SELECT a, id FROM (SELECT DISTINCT a, nxt AS id, row_number() OVER (PARTITION BY a ORDER BY nxt) n FROM (SELECT DISTINCT a, nxt FROM (SELECT a, rel, nxt, row_number() OVER (PARTITION BY a, rel ORDER BY id, nxt) m FROM (SELECT DISTINCT a, rel, {start}.id, nxt FROM {start} JOIN s3 ON s3.id = {start}.id)) WHERE m <= 50 AND nxt LIKE 'doc:%' AND nxt IN (SELECT id FROM cd))) WHERE n <= 100)"
+
+
+def _score_sql(name: str, cand: str) -> str:
+    return f"{name} AS (SELECT a, id, round(len(list_intersect(list_transform(ks, lambda x: lower(x)), list_distinct(ts))) / greatest(1, len(ks)), 4) s FROM {cand} JOIN kw ON kw.q = a JOIN tok USING (id))"
+
+
+def _sum_sql(name: str, *parts: str) -> str:
+    return f"{name} AS (SELECT a, id, sum(w)::BIGINT / 1e8 score, count(DISTINCT b) branches FROM ({' UNION ALL '.join(f'SELECT a, id, round({w} * 1e8)::BIGINT w, {i} b FROM {t}' for i, (t, w) in enumerate(p.split('|') for p in parts))}) GROUP BY ALL)"
+
+
+_EV = ("hits|sim * 0.3", "rer|s * 1.0", "direct|0.6", "broad|0.25", "sets|0.3", "meet|0.9")
+SQL["service_search"] = f"""{_G}, {_CARDS}, {_KW}, cd AS (SELECT owner_id id, content FROM chunks WHERE idx = 0 AND (owner_id LIKE 'ticket:%' OR owner_id LIKE 'doc:%')),
+tok AS (SELECT id, {_t("content")} ts FROM cd), st AS (SELECT count(*) FILTER (len(ts) > 0) n, sum(len(ts)) / count(*) FILTER (len(ts) > 0) av FROM tok), post AS (SELECT id, term, count(*) tf, dl FROM (SELECT id, len(ts) dl, unnest(ts) term FROM tok) GROUP BY id, term, dl), df AS (SELECT term, count(*) df FROM post GROUP BY 1),
+s3 AS (SELECT src id, rel, dst AS nxt FROM edges WHERE rel IN ('BLOCKS', 'REFERENCES') UNION SELECT dst, rel, src FROM edges WHERE rel IN ('BLOCKS', 'REFERENCES')),
+ask AS (SELECT DISTINCT item_id a, unnest({_t("question")}) term FROM eval_items), {_find_sql("hits", "ask", "doc", 50)}, {_find_sql("anc", "ask", "ticket", 5)},
+pool AS (SELECT a, id FROM hits WHERE rnk <= 30), {_score_sql("rer", "pool")}, {_along_sql("direct", "anc")},
+lost AS (SELECT a, id FROM anc WHERE a NOT IN (SELECT a FROM direct)), h1 AS (SELECT a, id, 0 h FROM lost UNION SELECT a, nxt, 1 FROM lost JOIN s3 USING (id)), h2 AS (SELECT a, id, min(h) h FROM (SELECT * FROM h1 UNION SELECT a, nxt, 2 FROM h1 JOIN s3 USING (id)) GROUP BY ALL),
+broad AS (SELECT a, id FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY id) m FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY h, id) n FROM h2) WHERE n <= 120 AND id LIKE 'doc:%' AND id IN (SELECT id FROM cd)) WHERE m <= 100),
+kask AS (SELECT DISTINCT q || chr(9) || (i - 1) a, unnest({_t("ks[i]")}) term FROM (SELECT q, ks, unnest(generate_series(1, least(3, len(ks)))) i FROM kw WHERE len(ks) > 1)), {_find_sql("kh", "kask", None, 3)}, {_along_sql("ksets", "kh")},
+sets AS (SELECT split_part(a, chr(9), 1) a, id, a part FROM ksets), meet AS (SELECT s.a, id FROM sets s JOIN (SELECT a, count(DISTINCT part) k FROM sets GROUP BY 1 HAVING k > 1) n ON n.a = s.a GROUP BY s.a, id, k HAVING count(DISTINCT part) = k),
+poor AS (SELECT q a FROM kw WHERE q NOT IN (SELECT a FROM rer WHERE s >= 0.5)),
+rask AS (SELECT DISTINCT a, unnest({_t("array_to_string(ks, ' ') || ' ' || content")}) term FROM poor JOIN kw ON kw.q = a JOIN hits USING (a) JOIN cd USING (id) WHERE rnk = 1), {_find_sql("fresh", "rask", "doc", 30)},
+newc AS (SELECT a, id FROM (SELECT a, id, row_number() OVER (PARTITION BY a ORDER BY rnk) n FROM fresh WHERE (a, id) NOT IN (SELECT (a, id) FROM pool)) WHERE n <= 20), {_score_sql("news", "newc")},
+{_sum_sql("sofar", *_EV)}, top AS (SELECT a, id FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) n, count(*) OVER (PARTITION BY a) k FROM sofar WHERE a NOT IN (SELECT a FROM poor)) WHERE n <= 20 AND k > 1), {_score_sql("tops", "top")},
+{_sum_sql("total", *_EV, "fresh|sim * 0.5", "news|s * 1.0", "tops|s * 1.0")}
+SELECT * FROM (SELECT a q, id, score, branches, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS "rank" FROM total) WHERE "rank" <= 20"""
+
+
 def _mcq(spark: SparkSession, d: str) -> DataFrame:
     """Eval items, answered by the stub from the best page for their question."""
     items = table(spark, d, "eval_items")
