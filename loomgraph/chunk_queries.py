@@ -12,6 +12,7 @@ from loomgraph.operators.records import latest
 from loomgraph.plans import schema
 from loomgraph.plans.session import cut, new_path, table
 from loomgraph.queries import SQL, query
+from loomgraph.queries import _CHANNEL as CHANNEL
 from loomgraph.search_queries import _METRICS, recall_hit_mrr
 from loomgraph.sources import loaders
 
@@ -201,22 +202,27 @@ _RAW = "r AS (SELECT id, v.* FROM (SELECT id, max_by(struct_pack(kind := kind, l
 
 @query
 def property_type_violations(spark: SparkSession, d: str) -> DataFrame:
-    return schema.wrong_types(_raw(spark, d, "label", "props"))
+    """Properties of messages and of raw records that do not look like their type."""
+    chat = graph.Records.of(*_tables(spark, d)).chat
+    props = F.create_map(F.lit("channel"), "ch", F.lit("seq"), F.col("sq").cast("string"), F.lit("ts"), "ts")
+    return schema.wrong_types(_raw(spark, d, "label", "props").unionByName(chat.select("id", F.lit("Message").alias("label"), props.alias("props"))))
 
 
 _TYPED = ", ".join(f"('{label}', '{p}', '{t}', '{schema.PATTERNS[t]}')" for label, of in schema.TYPES.items() for p, t in of.items())
-SQL["property_type_violations"] = f"WITH {_RAW}, e AS (SELECT id, label, x.key AS property, x.value actual FROM (SELECT id, label, unnest(map_entries(props)) x FROM r)) SELECT id, e.property, expected, actual FROM e JOIN (VALUES {_TYPED}) k(label, property, expected, pat) ON e.label = k.label AND e.property = k.property WHERE actual IS NOT NULL AND NOT regexp_matches(actual, pat)"
+SQL["property_type_violations"] = f"""{_G}, {_RAW}, e AS (SELECT id, label, x.key AS property, x.value actual FROM (SELECT id, label, unnest(map_entries(props)) x FROM r)
+  UNION ALL SELECT 'msg:' || ch || ':' || seq, 'Message', 'ts', ts FROM (SELECT {CHANNEL} ch, seq, max_by(struct_pack(ts := ts), arrived_at).ts ts FROM chat WHERE channel IS NOT NULL AND seq IS NOT NULL GROUP BY ALL))
+SELECT id, e.property, expected, actual FROM e JOIN (VALUES {_TYPED}) k(label, property, expected, pat) ON e.label = k.label AND e.property = k.property WHERE actual IS NOT NULL AND NOT regexp_matches(actual, pat)"""
 
 
 @query
 def edge_property_violations(spark: SparkSession, d: str) -> DataFrame:
-    """References of raw records without a name or a target."""
-    refs = _raw(spark, d, "refs").select(F.col("id").alias("src"), F.posexplode("refs").alias("place", "r")).select("src", "r.rel", F.col("r.targetId").alias("dst"), "place", F.col("r.name").alias("name"), F.regexp_extract("r.targetId", "^[a-z]+:(.*)$", 1).alias("target"))
-    return schema.edge_violations(refs, ("place", "name", "target"))
+    """References that tickets state without naming anything."""
+    t = graph.Records.of(*_tables(spark, d)).tickets
+    refs = t.select(F.col("id").alias("src"), F.lit("REFERENCES").alias("rel"), F.posexplode("references").alias("place", "name")).select("src", "rel", graph.page_key(F.col("name")).alias("dst"), "place", "name")
+    return schema.edge_violations(refs, ("place", "name")).select("src", "rel", "property")
 
 
-SQL["edge_property_violations"] = rf"""WITH {_RAW}, e AS (SELECT id, x.rel rel, x.targetId dst, x.name "name", regexp_extract(x.targetId, '^[a-z]+:(.*)$', 1) target FROM (SELECT id, unnest(refs) x FROM r))
-SELECT id src, rel, dst, 'name' property FROM e WHERE coalesce(trim("name", ' '), '') = '' UNION ALL SELECT id, rel, dst, 'target' FROM e WHERE coalesce(trim(target, ' '), '') = ''"""
+SQL["edge_property_violations"] = f"""{_G} SELECT id src, 'REFERENCES' rel, 'name' property FROM (SELECT id, unnest(refs) x FROM t) WHERE coalesce(trim(x, ' '), '') = ''"""
 
 
 @query

@@ -191,6 +191,15 @@ for _depth in (1, 2, 3):
     SQL[_f.__name__] = _walk_sql(_depth) + " SELECT * FROM walked"
 
 
+@query
+def inspector_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Everything within 2 steps of a seed by any relation, without the seed."""
+    return graph.walk(_seeds(_tickets(spark, d)), _edges(spark, d), 2, None).where("hops > 0")
+
+
+SQL["inspector_neighbours"] = _walk_sql(2, None) + " SELECT * FROM walked WHERE hops > 0"
+
+
 @query
 def bfs_typed_recall(spark: SparkSession, d: str) -> DataFrame:
     """The first 5 documents within 2 steps of any relation but those of persons, by hops and id."""

@@ -262,7 +262,7 @@ def gazetteer_hits(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     cut_ = lambda c: F.split(F.regexp_replace(F.lower(c), "[^a-z0-9-]", " "), " ")
     v = vocabulary.where("term <> ''").select(F.array_join(cut_(F.col("term")), " ").alias("gram"), "target").distinct()
-    sizes = sorted(r[0] for r in v.select(F.size(F.split("gram", " "))).distinct().limit(64).collect())
+    sizes = sorted(r[0] for r in v.select(F.size(F.split("gram", " "))).distinct().collect())  # the lengths of terms in words
     if not sizes:
         return texts.select("id", F.lit(None).cast("string").alias("target")).limit(0)
     words = texts.where("text IS NOT NULL").select("id", cut_(F.col("text")).alias("ts"))

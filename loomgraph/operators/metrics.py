@@ -70,6 +70,21 @@ def all_in_context(rows: DataFrame) -> DataFrame:
     return rows.select("q", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
+def reflection(ranking: DataFrame, gold: DataFrame, most: int = 5) -> DataFrame:
+    """What to look at in each query that misses gold within 20: (q, missed, wrong, ranks), up to ``most`` of each.
+
+    ``missed`` are gold ids beyond 20 or not retrieved, by id; ``wrong`` the first retrieved ids that are no gold, by rank; ``ranks``
+    the places of retrieved gold.
+    """
+    g = gold.select("q", "id").distinct().withColumn("gold", F.lit(True))
+    j = g.join(ranking.select("q", "id", "rank"), ["q", "id"], "full")
+    late = F.col("gold") & (F.coalesce("rank", F.lit(10**9)) > 20)
+    bad = F.col("gold").isNull() & (F.col("rank") <= 20)
+    few = lambda c: F.slice(F.sort_array(F.collect_list(c)), 1, most)
+    per = j.groupBy("q").agg(few(F.when(late, F.col("id"))).alias("missed"), few(F.when(bad, F.struct("rank", "id"))).alias("w"), few(F.when(F.col("gold"), F.col("rank"))).alias("ranks"))
+    return per.where("size(missed) > 0").select("q", "missed", F.transform("w", lambda x: x["id"]).alias("wrong"), "ranks")
+
+
 def worst_first(per: DataFrame, n: int, wins: int = 3) -> DataFrame:
     """per(q, recall_20, hit_1, mrr): (kind, place, q), ``n`` failures to look at, half and half, and some successes.
 

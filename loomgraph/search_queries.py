@@ -9,7 +9,7 @@ from loomgraph.functions import text
 from loomgraph.graph_queries import _CARDS, _G, _edges, _graph, _tables
 from loomgraph.operators import graph, metrics, search, select
 from loomgraph.operators.records import latest
-from loomgraph.plans.session import cut, table
+from loomgraph.plans.session import cut, new_path, table
 from loomgraph.queries import SQL, query
 
 _TERMS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -82,6 +82,17 @@ def gold_ranks(spark: SparkSession, d: str) -> DataFrame:
 SQL["gold_ranks"] = f'WITH {_BM25}, {_GOLD} SELECT DISTINCT q, id, rnk AS "rank", score FROM gold JOIN bmr USING (q, id) WHERE rnk <= 100'
 
 
+@query
+def reflection_records(spark: SparkSession, d: str) -> DataFrame:
+    got = metrics.reflection(search.ranked(_bm25(spark, d), 100), _asked(spark, d)[1])
+    return got.select("q", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("missed", "wrong", "ranks")])
+
+
+SQL["reflection_records"] = f"""WITH {_BM25}, {_GOLD}, j AS (SELECT coalesce(g.q, r.q) q, coalesce(g.id, r.id) id, g.q IS NOT NULL gold, rnk FROM (SELECT DISTINCT * FROM gold) g FULL JOIN (SELECT * FROM bmr WHERE rnk <= 100) r ON g.q = r.q AND g.id = r.id),
+a AS (SELECT q, list(id ORDER BY id) FILTER (gold AND coalesce(rnk, 999) > 20) m, list(id ORDER BY rnk) FILTER (NOT gold AND rnk <= 20) w, list(rnk ORDER BY rnk) FILTER (gold AND rnk IS NOT NULL) r FROM j GROUP BY q)
+SELECT q, array_to_string(m[1:5], ',') missed, coalesce(array_to_string(w[1:5], ','), '') wrong, coalesce(array_to_string(r[1:5], ','), '') ranks FROM a WHERE len(m) > 0"""
+
+
 @query
 def failure_mix(spark: SparkSession, d: str) -> DataFrame:
     per = recall_hit_mrr(spark, d)
@@ -356,6 +367,41 @@ newc AS (SELECT a, id FROM (SELECT a, id, row_number() OVER (PARTITION BY a ORDE
 SELECT * FROM (SELECT a q, id, score, branches, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS "rank" FROM total) WHERE "rank" <= 20"""
 
 
+@query
+def extract_first_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 best tickets for each eval question by similarity and by what is next to the best; relations as in service_search."""
+    rec = graph.Records.of(*_tables(spark, d))
+    label = F.when(F.col("owner_id").startswith("ticket:"), "Ticket").otherwise("Document")
+    cards, _ = cut(rec.cards().where("idx = 0 AND (owner_id LIKE 'ticket:%' OR owner_id LIKE 'doc:%')").select(F.col("owner_id").alias("id"), label.alias("label"), F.col("content").alias("text")))
+    q, _ = cut(_eval_questions(spark, d).withColumn("answer", F.lit("Ticket")))
+    rels = q.select("q", F.explode(F.array(F.lit("BLOCKS"), F.lit("REFERENCES"))).alias("rel"))
+    got = search.extract_first(q, rels, cards, _edges(spark, d, ("BLOCKS", "REFERENCES")), search.text_find(cards), search.overlap_score(cards, q))
+    return search.ranked(got, 20)
+
+
+SQL["extract_first_search"] = f"""{_G}, {_CARDS}, {_KW}, cd AS (SELECT owner_id id, content FROM chunks WHERE idx = 0 AND (owner_id LIKE 'ticket:%' OR owner_id LIKE 'doc:%')),
+tok AS (SELECT id, {_t("content")} ts FROM cd), st AS (SELECT count(*) FILTER (len(ts) > 0) n, sum(len(ts)) / count(*) FILTER (len(ts) > 0) av FROM tok), post AS (SELECT id, term, count(*) tf, dl FROM (SELECT id, len(ts) dl, unnest(ts) term FROM tok) GROUP BY id, term, dl), df AS (SELECT term, count(*) df FROM post GROUP BY 1),
+s3 AS (SELECT src id, rel, dst AS nxt FROM edges WHERE rel IN ('BLOCKS', 'REFERENCES') UNION SELECT dst, rel, src FROM edges WHERE rel IN ('BLOCKS', 'REFERENCES')),
+ask AS (SELECT DISTINCT item_id a, unnest({_t("question")}) term FROM eval_items), {_find_sql("hits", "ask", "ticket", 60)},
+fresh AS (SELECT DISTINCT a, nxt AS id FROM (SELECT *, row_number() OVER (PARTITION BY a, rel ORDER BY id, nxt) m FROM (SELECT DISTINCT a, rel, hits.id, nxt FROM hits JOIN s3 ON s3.id = hits.id WHERE rnk <= 10)) WHERE m <= 80 AND (a, nxt) NOT IN (SELECT (a, id) FROM hits) AND nxt IN (SELECT id FROM cd)),
+few AS (SELECT a, id FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY id) n FROM fresh) WHERE n <= 200), {_score_sql("rk", "few")}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, id) n FROM rk) WHERE n <= 40 AND id LIKE 'ticket:%'),
+{_sum_sql("total", "hits|sim * 1.0", "best|s * 0.9")}
+SELECT * FROM (SELECT a q, id, score, branches, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS "rank" FROM total) WHERE "rank" <= 20"""
+
+
+@query
+def embedded_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 pages most like each asked title by the stand-in embeddings, which are kept and read again."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("title").alias("text"))
+    v = search.embeddings(docs, search.hashed(), new_path(spark), "hashed", 256)
+    return search.vector_topk(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "embedding"), 5)
+
+
+SQL["embedded_topk"] = f"""WITH e AS (SELECT id, b, count(*)::DOUBLE c FROM (SELECT doc_id id, ('0x' || substr(md5(t), 1, 7))::BIGINT % 256 b FROM (SELECT doc_id, unnest({_t("title")}) t FROM documents)) GROUP BY ALL), n AS (SELECT id, sqrt(sum(c * c)) n FROM e GROUP BY 1),
+s AS (SELECT x.id q, y.id id, sum(x.c * y.c) d FROM e x JOIN e y ON x.b = y.b AND x.id <> y.id WHERE x.id % 50 = 0 GROUP BY ALL), v AS (SELECT a.id q, b.id, round(coalesce(d, 0) / a.n / b.n, 4) score FROM n a JOIN n b ON a.id <> b.id LEFT JOIN s ON s.q = a.id AND s.id = b.id WHERE a.id % 50 = 0)
+SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS "rank" FROM v) WHERE "rank" <= 5"""
+
+
 def _mcq(spark: SparkSession, d: str) -> DataFrame:
     """Eval items, answered by the stub from the best page for their question."""
     items = table(spark, d, "eval_items")

@@ -119,9 +119,17 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return markdown(raw.select(stem.alias("stem"), "value"))
 
 
-def read_json(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """One of SCHEMAS from a file that holds a JSON array or one object per line."""
-    return spark.read.schema(SCHEMAS[source]).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, source: str, lines: bool = False) -> DataFrame:
+    """One of SCHEMAS from a file that holds a JSON array, or with ``lines`` an object per line.
+
+    Spark cannot split a file that is one array: one task reads it. Large sources should come as lines, or as many files.
+    """
+    return spark.read.schema(SCHEMAS[source]).json(path, multiLine=not lines)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log of JSON objects, one per line; blank and torn lines are left out."""
+    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
 LOADERS = {"chat": chat, "tickets": tickets, "github": pull_requests, "meetings": meetings}

@@ -52,5 +52,18 @@ def test_stream_folds_deliveries_once(spark, tmp_path):
     run()
     run()
     assert {(r.key, r.v) for r in ingest.current(spark, out).collect()} == {("a", 2), ("b", 1)}
+    was = ingest._manifest(spark, out)
+    write([("c", 5, D(2025, 1, 3)), (None, 6, D(2025, 1, 3))])
+    run()
+    assert {(r.key, r.v) for r in ingest.current(spark, out).collect()} == {("a", 2), ("b", 1), ("c", 5)}
+    new = ingest._manifest(spark, out)
+    assert sum(was.get(b) != v for b, v in new.items()) == 1  # the other parts stay as they are
     ev = spark.createDataFrame([(D(2025, 1, 1, 0, 5), "x"), (D(2025, 1, 1, 0, 50), "x"), (D(2025, 1, 1, 1, 1), "x")], "ts timestamp, kind string")
     assert sorted(r.n for r in ingest.windowed_counts(ev, "ts", "kind").collect()) == [1, 2]
+
+
+def test_log_with_torn_lines(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"step": 1, "sha": "a"}\n\n{"step": 2, "sh\n{"step": 3, "sha": "b"}\n')
+    assert {tuple(r) for r in loaders.read_log(spark, str(tmp_path / "log.jsonl"), "step int, sha string").collect()} == {(1, "a"), (3, "b")}
+    (tmp_path / "chat.json").write_text('{"seq": 1, "channel": "x"}\n{"seq": 2, "channel": "x"}\n')
+    assert loaders.read_json(spark, str(tmp_path / "chat.json"), "chat", lines=True).count() == 2
