@@ -221,6 +221,10 @@ class Tables:
         p = data @ self.lines
         order = np.argsort(p, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, 0).T)
+        # A window begins in the first part whose last value it reaches and ends in the last whose first it reaches.
+        self.first = np.ascontiguousarray(self.sorted[:, :: self.step])
+        self.last = np.concatenate([self.first[:, 1:], self.sorted[:, -1:]], 1)
+        self.last[:, : n // self.step] = self.sorted[:, self.step - 1 :: self.step]
         words, edges = -(-n // 64), np.arange(-(-n // self.step) + 1)[:, None]
         self.before = np.empty((TABLES, len(edges), words), np.uint64)
         part = np.full(words * 64, len(edges), np.int32)
@@ -229,11 +233,11 @@ class Tables:
             self.before[t] = np.packbits(part[None, :] < edges, axis=1, bitorder="little").view(np.uint64)
 
     def _windows(self, q: np.ndarray, width: float) -> Iterator[np.ndarray]:
-        p = q @ self.lines
+        p = np.ascontiguousarray((q @ self.lines).T)
         for t in range(TABLES):
-            lo = np.searchsorted(self.sorted[t], p[:, t] - width, "left") // self.step
-            hi = -(-np.searchsorted(self.sorted[t], p[:, t] + width, "right") // self.step)
-            yield self.before[t, hi] ^ self.before[t, lo]
+            lo = self.last[t].searchsorted(p[t] - width, "left")
+            hi = self.first[t].searchsorted(p[t] + width, "right")
+            yield self.before[t].take(hi, 0) ^ self.before[t].take(lo, 0)
 
     def candidates(self, q: np.ndarray, width: float, need: int = NEED) -> tuple[np.ndarray, np.ndarray]:
         """(query, vector): the vectors that at least ``need`` tables hold within ``width`` of the query."""
@@ -252,16 +256,22 @@ def _kth(row: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
     return -np.partition(-wide, k - 1, axis=1)[:, k - 1]
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarray, k: int = K, floor: float = FLOOR, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, indexed row, cosine) of the up to ``k`` most similar of each row that asks, ties by smaller id."""
+def nearest(ids: np.ndarray, x: np.ndarray, indexed: np.ndarray, asks: np.ndarray, k: int = K, floor: float = FLOOR, guests: np.ndarray | None = None, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, indexed row, cosine) of the up to ``k`` most similar of each row that asks, ties by smaller id.
+
+    ``guests``, askers at home elsewhere, rarely have ``k`` near ones here, so they open the widest windows at once.
+    """
     where = np.flatnonzero(indexed)
     x32, found = x.astype(np.float32), []
     if not len(where):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     t, d32 = Tables(x32[where]), x32[where]
-    open_ = np.flatnonzero(asks)
+    late = asks & guests if guests is not None else np.zeros(len(ids), bool)
+    open_ = np.flatnonzero(asks & ~late)
     for level in LEVELS:
         r, last, still = level * radius(floor), level == LEVELS[-1], []
+        if last:
+            open_ = np.concatenate([open_, np.flatnonzero(late)])
         for at in range(0, len(open_), block):
             q = open_[at : at + block]
             qi, di = t.candidates(x32[q], WIDTH * r)
@@ -315,7 +325,7 @@ def neighbours(entities: DataFrame, k: int = K, floor: float = FLOOR) -> DataFra
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, home = pdf["id"].to_numpy(), pdf["home"].to_numpy()
         x = unit(np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(-1, DIM))
-        q, d, cosine = nearest(ids, x, pdf["indexed"].to_numpy(), pdf["asks"].to_numpy(), k, floor)
+        q, d, cosine = nearest(ids, x, pdf["indexed"].to_numpy(), pdf["asks"].to_numpy(), k, floor, ~home)
         back = ~home[q]  # what a guest finds here may not find the guest's home
         return pd.DataFrame({"id": np.concatenate([ids[q], ids[d[back]]]), "other": np.concatenate([ids[d], ids[q[back]]]), "cosine": np.concatenate([cosine, cosine[back]])})
 
