@@ -16,32 +16,32 @@ def rows(df):
 
 @pytest.fixture()
 def said(spark):
-    cards = spark.createDataFrame([("ticket:P-1", 0), ("ticket:P-1", 1), ("doc:x", 0), ("msg:eng:1", 1)], "owner_id string, idx int")
+    cards = spark.createDataFrame([("ticket:PR-1", 0), ("ticket:PR-1", 1), ("doc:x", 0), ("msg:eng:1", 1)], "owner_id string, idx int")
     texts = spark.createDataFrame(
-        [("ticket:P-1", "Ada Lovelace (@new-one) broke search-index; see P-1, P-2, Q-9 and https://x.org/a?b"), ("doc:x", "Search index and search-index-design"), ("msg:eng:1", "search-index"), ("msg:eng:2", None)], "id string, text string"
+        [("ticket:PR-1", "Ada Lovelace (@new-one) broke search-index; see PR-1, PR-2, QR-9 and https://x.org/a?b"), ("doc:x", "Search index and search-index-design"), ("msg:eng:1", "search-index"), ("msg:eng:2", None)], "id string, text string"
     )
     vocab = chunks.vocabulary(spark.createDataFrame([("person:ada",), ("component:search-index",)], "id string"), spark.createDataFrame([("ada", "Ada Lovelace"), ("bob", "Bob")], "handle string, name string"))
-    tickets = spark.createDataFrame([("ticket:P-1", 1), ("ticket:P-2", 1)], "id string, clash int")
+    tickets = spark.createDataFrame([("ticket:PR-1", 1), ("ticket:PR-2", 1)], "id string, clash int")
     return cards, chunks.mentions(texts, vocab, cards, tickets)
 
 
 def test_mentions_hang_off_the_card(said):
-    assert rows(said[1].select("src", "dst")) == {("ticket:P-1#c0", x) for x in ("person:ada", "person:new-one", "component:search-index", "ticket:P-2", "entity:https-x-org-a-b")}
+    assert rows(said[1].select("src", "dst")) == {("ticket:PR-1#c0", x) for x in ("person:ada", "person:new-one", "component:search-index", "ticket:PR-2", "entity:https-x-org-a-b")}
 
 
 def test_graph_with_chunks_and_its_checks(spark, said):
     cards, m = said
-    nodes = spark.createDataFrame([("ticket:P-1", "Ticket"), ("ticket:P-2", "Ticket"), ("doc:x", "Document"), ("msg:eng:1", "Message"), ("person:ada", "Person"), ("component:search-index", "Component")], "id string, label string")
+    nodes = spark.createDataFrame([("ticket:PR-1", "Ticket"), ("ticket:PR-2", "Ticket"), ("doc:x", "Document"), ("msg:eng:1", "Message"), ("person:ada", "Person"), ("component:search-index", "Component")], "id string, label string")
     n, e = chunks.with_chunks(nodes, spark.createDataFrame([], EDGE), cards, m)
     assert rows(n.where("label IN ('Person', 'Entity')")) == {("person:ada", "Person"), ("person:new-one", "Person"), ("entity:https-x-org-a-b", "Entity")}
-    assert rows(chunks.build_errors(nodes.where("label <> 'Person' AND label <> 'Component'"), nodes.where("id <> 'doc:x'"), e)) == {("doc:x", "no node"), ("ticket:P-2", "no chunk")}
+    assert rows(chunks.build_errors(nodes.where("label <> 'Person' AND label <> 'Component'"), nodes.where("id <> 'doc:x'"), e)) == {("doc:x", "no node"), ("ticket:PR-2", "no chunk")}
     assert chunks.orphan_chunks(n, e).count() == 0
     assert rows(chunks.orphan_chunks(n, e.where("src <> 'doc:x'"))) == {("doc:x#c0",)}
-    assert rows(chunks.provenance(e, n.where("label = 'Component'"))) == {("component:search-index", "ticket:P-1#c0", "ticket:P-1")}
+    assert rows(chunks.provenance(e, n.where("label = 'Component'"))) == {("component:search-index", "ticket:PR-1#c0", "ticket:PR-1")}
     rel = chunks.extracted(m)
-    assert rel.first().sources == ["ticket:P-1"] and mutate.strip_sources(rel, nodes.where("id = 'ticket:P-1'")).count() == 0
-    n2, e2 = mutate.cascade_delete(n, e, spark.createDataFrame([("ticket:P-1",)], "id string"), ("HAS_CHUNK",), ("MENTIONS",), ("Entity",))
-    assert {r.id for r in n2.collect()} == {"ticket:P-2", "doc:x", "msg:eng:1", "person:ada", "person:new-one", "component:search-index", "doc:x#c0", "msg:eng:1#c1"}
+    assert rel.first().sources == ["ticket:PR-1"] and mutate.strip_sources(rel, nodes.where("id = 'ticket:PR-1'")).count() == 0
+    n2, e2 = mutate.cascade_delete(n, e, spark.createDataFrame([("ticket:PR-1",)], "id string"), ("HAS_CHUNK",), ("MENTIONS",), ("Entity",))
+    assert {r.id for r in n2.collect()} == {"ticket:PR-2", "doc:x", "msg:eng:1", "person:ada", "person:new-one", "component:search-index", "doc:x#c0", "msg:eng:1#c1"}
     with pytest.raises(ValueError):
         mutate.cascade_delete(n, e, spark.createDataFrame([("ticket:none",)], "id string"), ("HAS_CHUNK",), ("MENTIONS",))
 
