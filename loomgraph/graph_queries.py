@@ -25,7 +25,7 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _edges(spark: SparkSession, d: str, rels: tuple[str, ...] | None = None) -> DataFrame:
     """The edges of ``rels``, written; only the tables and columns that state them are read."""
-    return cut(graph.Records.of(*_tables(spark, d)).edges(rels))[0]
+    return cut(graph.Records.of(*_tables(spark, d), rels or tuple(graph.STATED)).edges(rels))[0]
 
 
 def _tickets(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ SQL["edge_counts_by_type"] = _G + " SELECT rel, count(*) n FROM edges GROUP BY 1
 
 @query
 def dangling_edges_dropped(spark: SparkSession, d: str) -> DataFrame:
-    rec = graph.Records.of(*_tables(spark, d))
+    rec = graph.Records.of(*_tables(spark, d), tuple(graph.STATED))
     links = rec.links()
     return graph.connect(links, rec.nodes(links))[1]
 

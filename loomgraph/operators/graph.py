@@ -20,6 +20,8 @@ from loomgraph.plans.session import cut
 
 #: Relations between owners of texts; the default for walks.
 OWNER_RELS = ("REFERENCES", "BLOCKS", "REPLY_TO", "DISCUSSES", "FIXES")
+#: The columns that state each relation.
+STATED = {"ASSIGNED": "assignee", "REPORTED": "reporter", "ABOUT": "components", "REFERENCES": "references", "BLOCKS": "blocks", "AUTHORED_BY": "author", "REVIEWED_BY": "reviewers", "FIXES": "fixes", "SENT_BY": "author", "REPLY_TO": "reply_to"}
 #: Deepest walk.
 CEILING = 4
 
@@ -55,11 +57,14 @@ class Records:
     docs: DataFrame
 
     @classmethod
-    def of(cls, tickets: DataFrame, prs: DataFrame, chat: DataFrame, documents: DataFrame) -> Records:
-        t = latest(tickets, [F.col("key").alias("k")], "ingested_at", ["title", "description", "status", "assignee", "reporter", "components", "references", "blocks"])
-        p = latest(prs, [F.col("repo").alias("r"), F.col("number").alias("n")], "ingested_at", ["title", "description", "state", "author", "reviewers", "fixes", "components", "references"])
-        c = latest(chat, [channel_key(F.col("channel")).alias("ch"), F.col("seq").alias("sq")], "arrived_at", ["author", "ts", "text", "reply_to", "references"])
-        d = documents.where("stem IS NOT NULL").groupBy("stem").agg(F.max_by(F.struct("title", "author", "components", "text"), F.struct("ingested_at", "doc_id")).alias("v")).select("stem", "v.*")
+    def of(cls, tickets: DataFrame, prs: DataFrame, chat: DataFrame, documents: DataFrame, rels: tuple[str, ...] | None = None) -> Records:
+        """All columns; or with ``rels`` only those that state these relations, so that no text is moved to find the latest states."""
+        only = None if rels is None else {STATED[r] for r in rels if r in STATED}
+        keep = lambda *cols: [c for c in cols if only is None or c in only] or [F.lit(True).alias("_none")]
+        t = latest(tickets, [F.col("key").alias("k")], "ingested_at", keep("title", "description", "status", "assignee", "reporter", "components", "references", "blocks"))
+        p = latest(prs, [F.col("repo").alias("r"), F.col("number").alias("n")], "ingested_at", keep("title", "description", "state", "author", "reviewers", "fixes", "components", "references"))
+        c = latest(chat, [channel_key(F.col("channel")).alias("ch"), F.col("seq").alias("sq")], "arrived_at", keep("author", "ts", "text", "reply_to", "references"))
+        d = documents.where("stem IS NOT NULL").groupBy("stem").agg(F.max_by(F.struct(*keep("title", "author", "components", "text")), F.struct("ingested_at", "doc_id")).alias("v")).select("stem", "v.*")
         return cls(t.withColumn("id", F.concat(F.lit("ticket:"), "k")), p.withColumn("id", F.concat(F.lit("pr:"), slug(F.col("r")), F.lit("#"), F.col("n").cast("string"))), c.withColumn("id", F.concat(F.lit("msg:"), "ch", F.lit(":"), F.col("sq").cast("string"))), d.withColumn("id", F.concat(F.lit("doc:"), "stem")))
 
     def links(self, rels: tuple[str, ...] | None = None) -> DataFrame:
@@ -123,7 +128,7 @@ def connect(links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def project_graph(tickets: DataFrame, prs: DataFrame, chat: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges), written once."""
-    rec = Records.of(tickets, prs, chat, documents)
+    rec = Records.of(tickets, prs, chat, documents, tuple(STATED))
     links, _ = cut(rec.links())
     nodes, _ = cut(rec.nodes(links))
     edges, _ = cut(rec.edges())
