@@ -52,3 +52,13 @@ def test_a_hubs_neighbours_are_not_listed_for_each_question(spark, monkeypatch):
     got = rows(agentic.explore(start, ids, lambda seen: seen.where("false").select("q").distinct(), steps=2))
     assert [r for r in got if r[0] == "t0000"] == [("t0000", "hub", 1), ("t0000", "t0000", 0), *[("t0000", f"t{i:04}", 2) for i in range(1, 6)]]
     assert "row_number() windowspecdefinition(id#" in moved[-1]._jdf.queryExecution().analyzed().toString()
+
+
+def test_what_a_walk_reaches_is_not_moved(spark):
+    """inspector_neighbours: after the first step only edges are dealt, the pairs of question and node stay in their task."""
+    edges = spark.range(200).select(F.format_string("t%03d", "id").alias("src"), F.lit("ABOUT").alias("rel"), F.concat(F.lit("c"), F.col("id") % 3).alias("dst"))
+    start = spark.createDataFrame([("t000", "t000"), ("t001", "t001")], "q string, id string")
+    got = graph.walk(start, edges, 2, None)
+    assert {(r.q, r.id, r.hops) for r in got.where("hops > 0").collect()} == {(f"t00{k}", f"c{k}", 1) for k in (0, 1)} | {(f"t00{k}", f"t{i:03}", 2) for k in (0, 1) for i in range(200) if i % 3 == k and i != k}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q#" not in plan and "hashpartitioning(to#" in plan
