@@ -62,3 +62,32 @@ def test_what_a_walk_reaches_is_not_moved(spark):
     assert {(r.q, r.id, r.hops) for r in got.where("hops > 0").collect()} == {(f"t00{k}", f"c{k}", 1) for k in (0, 1)} | {(f"t00{k}", f"t{i:03}", 2) for k in (0, 1) for i in range(200) if i % 3 == k and i != k}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(q#" not in plan and "hashpartitioning(to#" in plan
+
+
+@pytest.mark.parametrize("itself", [True, False])
+@pytest.mark.parametrize("rows_at_a_time", [16384, 3])
+def test_best_texts_are_those_of_all_pairs(spark, monkeypatch, itself, rows_at_a_time):
+    """bm25_topk against bm25: equal questions, ties, empty and null texts, blocks of a few rows."""
+    monkeypatch.setattr(search, "ASKED", 4)
+    monkeypatch.setattr(search, "ROWS", rows_at_a_time)
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i, " ".join(r.choice(words, r.integers(1, 9)))) for i in range(300)] + [(300, None), (301, "")]
+    asked = [(i, " ".join(r.choice([*words, "none"], r.integers(1, 4)))) for i in range(0, 300, 15)] + [(900, "w1 w2"), (901, "W2 w1 w1"), (902, None)]
+    t, q = spark.createDataFrame(texts, "id bigint, text string"), spark.createDataFrame(asked, "q bigint, text string")
+    pairs = search.bm25(t, q)
+    want = search.ranked(pairs if itself else pairs.where("q <> id"), 6).select("q", "id", "score", "rank")
+    assert rows(search.bm25_topk(t, q, 6, itself)) == rows(want)
+
+
+def test_scores_of_texts_of_one_id_are_added(spark):
+    """As in the SQL, which counts terms by id and length."""
+    q = spark.createDataFrame([(1, "w1 w2")], "q bigint, text string")
+    of = lambda ids: {r.id: r.score for r in search.bm25_topk(spark.createDataFrame(list(zip(ids, ("w1 x", "w1 w2 w2", "w2"))), "id bigint, text string"), q, 5).collect()}
+    apart, one = of([7, 8, 9]), of([7, 7, 9])
+    assert one == {7: pytest.approx(apart[7] + apart[8], abs=1e-4), 9: apart[9]}
+
+
+def test_bm25_seed_topk_makes_no_pairs(spark, records, no_pairs):
+    got = search_queries.bm25_seed_topk(spark, records).orderBy("q", "rank").collect()
+    assert [(r.q, r.id) for r in got] == [(50, 3), (50, 5), (50, 4), (100, 100)]
