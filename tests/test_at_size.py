@@ -91,3 +91,7 @@ def test_scores_of_texts_of_one_id_are_added(spark):
 def test_bm25_seed_topk_makes_no_pairs(spark, records, no_pairs):
     got = search_queries.bm25_seed_topk(spark, records).orderBy("q", "rank").collect()
     assert [(r.q, r.id) for r in got] == [(50, 3), (50, 5), (50, 4), (100, 100)]
+
+
+def test_recall_hit_mrr_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.recall_hit_mrr(spark, records)) == [(50, 0.5, 0.5, 1.0, 1.0, 1.0), (100, 1.0, 1.0, 1.0, 1.0, 1.0)]
