@@ -95,3 +95,7 @@ def test_bm25_seed_topk_makes_no_pairs(spark, records, no_pairs):
 
 def test_recall_hit_mrr_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.recall_hit_mrr(spark, records)) == [(50, 0.5, 0.5, 1.0, 1.0, 1.0), (100, 1.0, 1.0, 1.0, 1.0, 1.0)]
+
+
+def test_failure_mix_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.failure_mix(spark, records)) == [("FOUND", 1), ("GENERATION", 1)]
