@@ -99,3 +99,7 @@ def test_recall_hit_mrr_makes_no_pairs(spark, records, no_pairs):
 
 def test_failure_mix_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.failure_mix(spark, records)) == [("FOUND", 1), ("GENERATION", 1)]
+
+
+def test_metric_summary_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.metric_summary(spark, records)) == [(2, 0.75, 0.75, 1.0, 1.0, 1.0)]
