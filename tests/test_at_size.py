@@ -103,3 +103,7 @@ def test_failure_mix_makes_no_pairs(spark, records, no_pairs):
 
 def test_metric_summary_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.metric_summary(spark, records)) == [(2, 0.75, 0.75, 1.0, 1.0, 1.0)]
+
+
+def test_reflection_records_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.reflection_records(spark, records)) == [(50, "50", "5,4", "1")]
