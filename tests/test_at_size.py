@@ -107,3 +107,7 @@ def test_metric_summary_makes_no_pairs(spark, records, no_pairs):
 
 def test_reflection_records_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.reflection_records(spark, records)) == [(50, "50", "5,4", "1")]
+
+
+def test_gold_ranks_makes_no_pairs(spark, records, no_pairs):
+    assert [r[:3] for r in rows(search_queries.gold_ranks(spark, records))] == [(50, 3, 1), (100, 100, 1)]
