@@ -111,3 +111,7 @@ def test_reflection_records_makes_no_pairs(spark, records, no_pairs):
 
 def test_gold_ranks_makes_no_pairs(spark, records, no_pairs):
     assert [r[:3] for r in rows(search_queries.gold_ranks(spark, records))] == [(50, 3, 1), (100, 100, 1)]
+
+
+def test_owner_of_chunks_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.owner_of_chunks(spark, records)) == [(50, "doc:p3", 1), (50, "doc:p50", 3), (100, "doc:p100", 1)]
