@@ -115,3 +115,7 @@ def test_gold_ranks_makes_no_pairs(spark, records, no_pairs):
 
 def test_owner_of_chunks_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.owner_of_chunks(spark, records)) == [(50, "doc:p3", 1), (50, "doc:p50", 3), (100, "doc:p100", 1)]
+
+
+def test_context_assembly_budget_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.context_assembly_budget(spark, records)) == [(50, "alpha beta\nalpha beta\nalpha beta\nnothing", "[doc:p3] [doc:p50]"), (100, "gamma\ngamma", "[doc:p100]")]
