@@ -119,3 +119,7 @@ def test_owner_of_chunks_makes_no_pairs(spark, records, no_pairs):
 
 def test_context_assembly_budget_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.context_assembly_budget(spark, records)) == [(50, "alpha beta\nalpha beta\nalpha beta\nnothing", "[doc:p3] [doc:p50]"), (100, "gamma\ngamma", "[doc:p100]")]
+
+
+def test_citations_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.citations(spark, records)) == [("doc:p100", 1), ("doc:p3", 1), ("doc:p50", 1)]
