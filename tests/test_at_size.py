@@ -123,3 +123,7 @@ def test_context_assembly_budget_makes_no_pairs(spark, records, no_pairs):
 
 def test_citations_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.citations(spark, records)) == [("doc:p100", 1), ("doc:p3", 1), ("doc:p50", 1)]
+
+
+def test_retrieval_hit_all_gold_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.retrieval_hit_all_gold(spark, records)) == [(50, True), (100, True)]
