@@ -127,3 +127,17 @@ def test_citations_makes_no_pairs(spark, records, no_pairs):
 
 def test_retrieval_hit_all_gold_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.retrieval_hit_all_gold(spark, records)) == [(50, True), (100, True)]
+
+
+def test_goals_are_met_from_both_sides(spark):
+    """miss_attribution: within two steps as by a walk, without listing what a shared component leads to."""
+    edges = spark.createDataFrame([("a", "ABOUT", "c"), ("b", "ABOUT", "c"), ("b", "REFERENCES", "d"), ("e", "SENT_BY", "c"), ("a", "REFERENCES", "a")], "src string, rel string, dst string")
+    start = spark.createDataFrame([("q", "a"), ("r", "d")], "q string, id string")
+    goals = spark.createDataFrame([(q, i) for q in "qrs" for i in "abcdez"], "q string, id string")
+    rels = ("REFERENCES", "ABOUT")
+    walked = graph.walk(start, edges, 2, rels).select("q", "id").join(goals, ["q", "id"])
+    assert rows(graph.met(start, goals, edges, rels)) == rows(walked) == [("q", "a"), ("q", "b"), ("q", "c"), ("r", "b"), ("r", "c"), ("r", "d")]
+
+
+def test_miss_attribution_makes_no_pairs(spark, records, no_pairs):
+    assert rows(search_queries.miss_attribution(spark, records)) == [("RANKING", 3)]
