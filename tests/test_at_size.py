@@ -141,3 +141,23 @@ def test_goals_are_met_from_both_sides(spark):
 
 def test_miss_attribution_makes_no_pairs(spark, records, no_pairs):
     assert rows(search_queries.miss_attribution(spark, records)) == [("RANKING", 3)]
+
+
+def test_vectors_are_kept_by_task_not_by_batch(spark):
+    """evidence_union_scores, rrf_fusion: the best as by brute force, and no more than these from each task."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 8)).round(1).astype(np.float32)
+    v = spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(300)], "id bigint, embedding array<float>").coalesce(2).cache()
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("q"), "embedding")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert search.vector_scores(v, asked, 5).count() <= 2 * 5 * 6
+        got = {(t.q, t.id, t.score) for t in search.vector_topk(v, asked, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 300, 50):
+        s = np.round(n @ n[q], 4)
+        want |= {(q, i, float(s[i])) for i in sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]}
+    assert got == want
