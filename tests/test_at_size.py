@@ -161,3 +161,10 @@ def test_vectors_are_kept_by_task_not_by_batch(spark):
         s = np.round(n @ n[q], 4)
         want |= {(q, i, float(s[i])) for i in sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]}
     assert got == want
+
+
+def test_rrf_fusion_makes_no_pairs(spark, tmp_path, no_pairs):
+    vec = lambda a: [1.0, a] + [0.0] * 62
+    e = [(50, "a", "alpha beta", vec(0.0), AT), (1, "a", "alpha", vec(0.1), AT), (2, "a", "none", vec(0.2), AT)]
+    spark.createDataFrame(e, "id bigint, ntype string, text string, embedding array<float>, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/entities.parquet")
+    assert rows(search_queries.rrf_fusion(spark, str(tmp_path))) == [(50, 1, round(2 / 61, 6), 1), (50, 2, round(1 / 62, 6), 2)]
